@@ -29,8 +29,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = system.makeQualified(target)
+    system.deleteOnExit(target)
+    path = target.toString()
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
