@@ -6,8 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +64,31 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 3
                 n += 1
             yield part.slice(0, n), texts
             at += n
+
+
+def flags_of(df: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A filter of `bits` bits (a power of two): bit key mod bits is set for every key. It says no surely, yes maybe, at any size."""
+    bit = F.pmod(key, F.lit(bits))
+    words = df.select(bit.alias("bit")).groupBy(F.expr("bit div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
+    flags = np.zeros(bits // 64, np.int64)
+    for r in words:
+        flags[r.word] = r.bits
+    return flags
+
+
+def write_by_partition(df: DataFrame, label: str) -> str:
+    """df (part, ...) in a folder of the shared folder with a place for each part, for tasks that know their partition's number."""
+    path = scratch(df.sparkSession, label)
+    df.repartition("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def read_part(folder: str, part: int, columns: list[str]) -> pa.Table | None:
+    system, root = pafs.FileSystem.from_uri(folder)
+    files = [f.path for f in system.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    return pa.concat_tables([pq.read_table(system.open_input_file(f), columns=columns) for f in files]) if files else None
+
+
+def from_files(docs: DataFrame, label: str) -> DataFrame:
+    """docs, written to the shared folder first unless its rows come straight from files, so that each reading has the same partitions."""
+    return cut(docs, label) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs

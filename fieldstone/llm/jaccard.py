@@ -9,7 +9,8 @@ remains are pairs between components, less those that lengths or the distances t
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+import zlib
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Pieces
-from .common import cut, slices
+from .common import cut, flags_of, slices
 
-#: Counters of the frequency sketch and of the filter on needed nodes (both powers of two): the bounds of what is broadcast.
+#: Counters of the frequency sketch, and bits of the filters that are broadcast (powers of two): bounds whatever the corpus.
 COUNTERS, FILTER_BITS = 1 << 18, 1 << 23
 FRAGMENTS = 4
 #: Partitions' sketches that one task adds up, and rounds of adding: enough for a million partitions.
 FAN_IN, ROUNDS, CHUNKS = 32, 4, 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-
-
-def word_hashes() -> Pieces:
-    return Pieces(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"))
+_BASE, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+#: White space that cuts words: blank and the controls 9 to 13.
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,13 +38,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_sets(texts: list[str], size: int, hashes: Pieces) -> list[np.ndarray]:
+@cache
+def _letters() -> np.ndarray:
+    """A 64-bit value for every byte, capitals A-Z as their small letters."""
+    out = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD[2])
+    out[65:91] = out[97:123]
+    return out
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse modulo 2**64, at least n of each."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        for i, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS[0], _POWERS[1]
+
+
+def word_values(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in order, and each text's number of words. A word's hash is a polynomial in its bytes, had
+    for all words at once as the difference of two prefix sums."""
+    data = [t.encode() for t in texts]
+    raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
+    inside = ~_BLANK[raw]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers(len(raw) + 1)
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_letters()[raw] * power[: len(raw)], out=prefix[1:])
+    values = _mix((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(np.uint64) * _ODD[3])
+    ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)
+    return values, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     """For each text its distinct shingles as sorted 64-bit hashes: runs of `size` words (lower-cased A-Z, cut at ASCII white space), or
     the whole sequence if it has fewer words; nothing without words."""
-    words = [t.encode().lower().split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter((hashes[w] for own in words for w in own), np.uint64, int(n.sum()))
-    hashes.trim()
+    h, n = word_values(texts)
     many = max(0, len(h) - size + 1)
     rolled = np.full(many, size, np.uint64)
     for i in range(size):
@@ -52,7 +87,8 @@ def shingle_sets(texts: list[str], size: int, hashes: Pieces) -> list[np.ndarray
     out, at = [], 0
     for k in n.tolist():
         if k >= size:
-            out.append(np.unique(rolled[at : at + k - size + 1]))
+            own = np.sort(rolled[at : at + k - size + 1])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
         elif k:
             x = np.full(1, k, np.uint64)
             for i in range(k):
@@ -72,9 +108,9 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     """How many documents hold shingles of each counter; added up in a tree of tasks, in chunks."""
 
     def count(batches):
-        total, hashes = np.zeros(COUNTERS, np.int64), word_hashes()
+        total = np.zeros(COUNTERS, np.int64)
         for _, own in slices(batches):
-            sets = shingle_sets(own, size, hashes)
+            sets = shingle_sets(own, size)
             total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         part = TaskContext.get().partitionId()
         parts = total.reshape(CHUNKS, -1)
@@ -134,91 +170,130 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """Components of documents whose shingle sets are similar: (id_col, n_shingles, node, component_id), one row per row of docs.
+def _first_shingles(own: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The head of a set in the global order: any set similar enough shares one of these."""
+    key = (counts[(own % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (own >> np.uint64(32))
+    return own[np.argsort(key, kind="stable")[: len(own) - least_overlap(len(own), percent) + 1]]
 
-    Two documents link when 100 * intersection >= percent * union of their sets of `size`-word shingles; component_id is the smallest
-    id that links lead to. Equal sets are one node (a 64-bit digest); a null or empty text has no shingles, no node, and is its own
-    component. Repeated rows each give a row; a null id is never a component's id unless all its rows have none; an empty table gives no
-    rows; other columns are not read. Every link between different texts counts: nothing is capped."""
+
+def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """(id, row, check, n, node, component, component_id): one row per row of docs, which `row` numbers by partition (the upper 24 bits)
+    and place in it; check is its text's CRC. The rest is as in jaccard_components."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = _sketch(rows.select("text"), size)
-    pivots = _pivots(counts)
-    sketch = spark.sparkContext.broadcast((counts, pivots))
+    sketch = spark.sparkContext.broadcast((counts, _pivots(counts)))
 
     def nodes(batches):
-        counts, hashes = sketch.value[0], word_hashes()
+        counts, at = sketch.value[0], TaskContext.get().partitionId() << 40
         for part, texts in slices(batches):
-            node, n, heads = [], [], []
-            for own in shingle_sets(texts, size, hashes):
-                k = len(own)
-                n.append(k)
-                node.append(node_of(own) if k else None)
-                head = k - least_overlap(k, percent) + 1 if k else 0
-                order = np.lexsort((own, counts[(own % np.uint64(COUNTERS)).astype(np.int64)]))[:head]
-                heads.append(own[order].view(np.int64))
-            yield pa.record_batch([part.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["id", "node", "n", "head"])
-
-    known = cut(rows.mapInArrow(nodes, f"id {docs.schema[id_col].dataType.simpleString()}, node long, n long, head array<long>"), "nodes")
-    keys = known.filter("n > 0").select(F.explode("head").alias("shingle"), "node", "n")
-    hubs = keys.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("other")).filter("hub.node <> other").select("shingle", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    members = cut(keys.join(hubs, "shingle").distinct(), "members")
-    close = (F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100)
-    first = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("a_n"), F.col("hub_n").alias("b_n")).filter(close).distinct()
-    segments = _segments(rows.select("text"), members.select("node").distinct(), size, sketch)
-    compared = cut(_overlaps(first, segments), "compared")
-    links = compared.filter(_linked(F.col("inter"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
+            sets = shingle_sets(texts, size)
+            yield pa.record_batch(
+                [
+                    part.column(0), pa.array(np.arange(at, at + len(texts))), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([_first_shingles(s, counts, percent).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                ],
+                ["id", "row", "check", "n", "node", "head"],
+            )
+            at += len(texts)
+
+    known = cut(rows.mapInArrow(nodes, f"id {docs.schema[id_col].dataType.simpleString()}, row long, check long, n long, node long, head array<long>"), "nodes")
+    shared = cut(known.select(F.explode("head").alias("shingle"), "node").groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("shingle", "hub"), "hubs")
+    members = cut(_sifted(known, shared).join(shared, "shingle").distinct(), "members")
+    size_of = known.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"))
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        """Pairs whose lengths let them be similar enough."""
+        both = pairs.join(size_of.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a").join(size_of.select(F.col("node").alias("b"), F.col("n").alias("b_n")), "b")
+        return both.filter((F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100))
+
+    first = cut(sized(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "pairs")
+    compared, segments = _compared(first, rows.select("text"), None, size, sketch)
+    linked = _linked(F.col("inter"), F.col("a_n"), F.col("b_n"), percent)
+    links = compared.filter(linked).select("a", "b")
     labels = components(links)
 
     # Buckets whose members aren't one component yet: what the hub left open.
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
     distance = compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("inter") / (F.col("a_n") + F.col("b_n") - F.col("inter"))).alias("far"))
-    left = placed.join(open_, "shingle", "left_semi").filter("node <> hub").join(distance, ["node", "hub"], "left")
+    left = cut(placed.join(open_, "shingle", "left_semi").filter("node <> hub").join(distance, ["node", "hub"], "left").join(size_of, "node"), "open")
     side = lambda p: left.select("shingle", *(F.col(c).alias(f"{p}{d}") for c, d in (("node", ""), ("n", "_n"), ("component", "_component"), ("far", "_far"))))
-    slack = 1 - percent / 100 + 1e-9
-    apart = F.coalesce(F.abs(F.col("a_far") - F.col("b_far")) <= slack, F.lit(True))
+    close = (F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100)
+    apart = F.coalesce(F.abs(F.col("a_far") - F.col("b_far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     crossed = side("a").join(side("b"), "shingle").filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & close & apart).select("a", "b", "a_n", "b_n").distinct()
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _overlaps(cut(crossed.join(done, ["a", "b"], "left_anti"), "crossed"), segments)
-    more = cut(second.filter(_linked(F.col("inter"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b"), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    crossed = cut(crossed.join(done, ["a", "b"], "left_anti"), "crossed")
+    if not crossed.isEmpty():
+        second, _ = _compared(crossed, rows.select("text"), segments, size, sketch)
+        labels = components(links.unionByName(second.filter(linked).select("a", "b")))
 
     groups = known.filter("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_node = groups.select("node", "component").join(least, "component").select("node", "component_id")
-    told = known.select("id", "n", "node").join(of_node, "node", "left")
-    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    of_node = groups.select("node", "component").join(least, "component")
+    told = known.drop("head").join(of_node, "node", "left")
+    return told.select("id", "row", "check", "n", "node", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """Components of documents whose shingle sets are similar: (id_col, n_shingles, node, component_id), one row per row of docs.
+
+    Two documents link when 100 * intersection >= percent * union of their sets of `size`-word shingles; component_id is the smallest
+    id that links lead to. Equal sets are one node (a 64-bit digest); a null or empty text has no shingles, no node, and is its own
+    component. Repeated rows each give a row; a null id is never a component's id unless all its rows have none; an empty table gives no
+    rows; other columns are not read. Every link between different texts counts: nothing is capped."""
+    told = jaccard_rows(docs, id_col, text_col, size, percent)
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", "component_id")
+
+
+def _sifted(known: DataFrame, shared: DataFrame) -> DataFrame:
+    """(shingle, node) of first shingles, most of those that no two nodes share left out by a filter of bounded size."""
+    wanted = known.sparkSession.sparkContext.broadcast(flags_of(shared, "shingle", FILTER_BITS))
+
+    def sift(batches):
+        flags = wanted.value
+        for batch in batches:
+            heads = batch.column(1)
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(heads.offsets.to_numpy()))
+            shingle = heads.flatten().to_numpy()
+            keep = flagged(flags, shingle)
+            yield pa.record_batch([pa.array(shingle[keep]), pa.array(node[keep])], ["shingle", "node"])
+
+    return known.filter("n > 0").select("node", "head").mapInArrow(sift, "shingle long, node long")
+
+
+def flagged(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys & (FILTER_BITS - 1)
+    return (flags[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, segments: DataFrame | None, size: int, sketch) -> tuple[DataFrame, DataFrame]:
+    """pairs with inter, and the segments known by now: those of nodes not among `segments` yet are cut from the texts."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if segments is not None:
+        needed = cut(needed.join(segments.select("node"), "node", "left_anti"), "needed")
+    if segments is None or not needed.isEmpty():
+        more = _segments(texts, needed, size, sketch)
+        segments = more if segments is None else segments.unionByName(more)
+    return cut(_overlaps(pairs, segments), "compared"), segments
 
 
 def _segments(texts: DataFrame, needed: DataFrame, size: int, sketch) -> DataFrame:
     """(node, fragment, shingles) of the needed nodes. A filter of bounded size, broadcast, keeps most other texts' sets from the shuffle."""
-    spark = texts.sparkSession
-    bit = F.pmod("node", F.lit(FILTER_BITS)).alias("bit")
-    words = needed.select(bit).groupBy(F.expr("bit div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
-    flags = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words:
-        flags[r.word] = r.bits
-    wanted = spark.sparkContext.broadcast(flags)
+    wanted = texts.sparkSession.sparkContext.broadcast(flags_of(needed, "node", FILTER_BITS))
 
     def cut_up(batches):
-        (counts, pivots), flags, hashes = sketch.value, wanted.value, word_hashes()
+        (counts, pivots), flags = sketch.value, wanted.value
         for _, own in slices(batches):
+            sets = [s for s in shingle_sets(own, size) if len(s)]
+            keys = np.fromiter(map(node_of, sets), np.int64, len(sets))
             node, fragment, shingles = [], [], []
-            for s in shingle_sets(own, size, hashes):
-                if not len(s):
-                    continue
-                key = node_of(s)
-                b = key % FILTER_BITS
-                if not int(flags[b >> 6]) >> (b & 63) & 1:
-                    continue
-                of = np.searchsorted(pivots, counts[(s % np.uint64(COUNTERS)).astype(np.int64)])
+            for i in np.flatnonzero(flagged(flags, keys)).tolist():
+                of = np.searchsorted(pivots, counts[(sets[i] % np.uint64(COUNTERS)).astype(np.int64)])
                 for f in range(FRAGMENTS):
-                    node.append(key)
+                    node.append(int(keys[i]))
                     fragment.append(f)
-                    shingles.append(s[of == f].view(np.int64))
+                    shingles.append(sets[i][of == f].view(np.int64))
             yield pa.record_batch([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(shingles, pa.list_(pa.int64()))], ["node", "fragment", "shingles"])
 
     made = texts.mapInArrow(cut_up, "node long, fragment int, shingles array<long>").join(needed, "node", "left_semi")
