@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, media, packing, quality, token_counts, topk, toxicity
+from . import bpe, chat, jaccard, licenses, media, packing, quality, token_counts, topk, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.media_column(table(spark, sf_dir, "documents")))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_conversations(parts))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_media, op5_toxicity, op6_top_k, op7_packing, op8_jaccard, op9_byte_bpe, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_media, op4_licenses, op5_toxicity, op6_top_k, op7_packing, op8_jaccard, op9_byte_bpe, op10_chat)}
 
 
 def _escaped(x: str) -> str:
