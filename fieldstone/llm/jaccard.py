@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flags_of, slices
+from .common import cut, flags_of, from_files, read_part, slices, write_by_partition
 
 #: Counters of the frequency sketch, and bits of the filters that are broadcast (powers of two): bounds whatever the corpus.
 COUNTERS, FILTER_BITS = 1 << 18, 1 << 23
@@ -298,3 +298,30 @@ def _segments(texts: DataFrame, needed: DataFrame, size: int, sketch) -> DataFra
 
     made = texts.mapInArrow(cut_up, "node long, fragment int, shingles array<long>").join(needed, "node", "left_semi")
     return cut(made.groupBy("node", "fragment").agg(F.first("shingles").alias("shingles")), "segments")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays for each component of jaccard_components(): that of the smallest id
+    (null last), the first of repeated ones. Rows without a text all stay. What goes is looked up by a row's partition and place, so texts
+    are not shuffled; that both readings saw the same rows is checked."""
+    docs = from_files(docs, "near-docs")
+    told = jaccard_rows(docs, id_col, text_col, size, percent).filter("n > 0")
+    stays = told.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    gone = told.join(stays, "component").filter("row <> first.row").select(F.shiftright("row", 40).alias("part"), "row", "check")
+    folder = write_by_partition(gone, "near-gone")
+
+    def run(batches):
+        part_no = TaskContext.get().partitionId()
+        found = read_part(folder, part_no, ["row", "check"])
+        gone = dict(zip(found.column("row").to_pylist(), found.column("check").to_pylist(), strict=True)) if found else {}
+        at = part_no << 40
+        for part, texts in slices(batches, text_col):
+            keep = []
+            for i, t in enumerate(texts, at):
+                keep.append(i not in gone)
+                if i in gone and zlib.crc32(t.encode()) != gone[i]:
+                    raise RuntimeError("the documents' partitions changed between two readings; write them to a table first")
+            yield part.filter(pa.array(keep, pa.bool_()))
+            at += len(texts)
+
+    return docs.mapInArrow(run, docs.schema)

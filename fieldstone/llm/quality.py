@@ -10,13 +10,12 @@ import sys
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, scratch, slices
+from .common import cut, from_files, read_part, slices, write_by_partition
 
 ORDER = 4
 #: Distinct n-grams that a task holds before it passes on what it has counted.
@@ -107,20 +106,14 @@ def _surprise(wanted: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> D
     return below.select("key", (-F.ln("p")).alias("nll"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(id_col, lang, chars, nll) of every row of docs, by a model of the rows of `trusted`; nll is the sum over its characters.
-
-    docs is read twice, and each partition has to hold the same rows both times: what doesn't come straight from files is written first."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        docs = cut(docs, "quality-docs")
+def _looked_up(docs: DataFrame, trusted: DataFrame, text_col: str) -> str:
+    """Fits the model on `trusted` and answers, for each partition of docs, what its 4-grams cost: the folder of (part, key, nll)."""
     levels = _levels(cut(_counts(trusted, text_col), "kn4"))
 
     def asks(batches):
-        held: set | np.ndarray = np.zeros(0, np.int64)
+        held = np.zeros(0, np.int64)
         new: list[np.ndarray] = []
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, text_col):
             new.append(pd.unique(grams(texts)[0]))
             if sum(map(len, new)) > HELD:
                 held, new = np.unique(np.concatenate([held, *new])), []
@@ -130,71 +123,109 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", la
             own = held[at : at + 100_000]
             yield pa.record_batch([pa.array(np.full(len(own), part, np.int64)), pa.array(own)], ["part", "key"])
 
-    wanted = cut(docs.mapInArrow(asks, "part long, key long"), "kn-asked")
+    wanted = cut(docs.select(text_col).mapInArrow(asks, "part long, key long"), "kn-asked")
     told = _surprise(wanted.select("key").distinct(), levels)
-    answers = scratch(spark, "kn-told")
-    wanted.join(told, "key").repartition("part").sortWithinPartitions("part", "key").write.partitionBy("part").parquet(answers)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang string, chars long, nll double"
+    return write_by_partition(wanted.join(told, "key"), "kn-told")
+
+
+def _scored(docs: DataFrame, answers: str, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs with __chars and __nll, the sum over a text's characters. docs is read a second time here, and each
+    partition has to hold the rows that it held before."""
 
     def score(batches):
-        keys = nll = None
-        for part, texts in slices(batches):
+        table = None
+        for part, texts in slices(batches, text_col):
             own, doc = grams(texts)
-            if keys is None and len(own):
-                keys, nll = _answers(answers, TaskContext.get().partitionId())
-            codes, seen = pd.factorize(own)
             total = np.zeros(len(texts))
             if len(own):
-                at = np.minimum(np.searchsorted(keys, seen), len(keys) - 1)
-                if not (keys[at] == seen).all():
+                table = table or _answers(answers, TaskContext.get().partitionId())
+                keys, nll = table
+                codes, seen = pd.factorize(own)
+                at = np.minimum(np.searchsorted(keys, seen), max(0, len(keys) - 1))
+                if not len(keys) or not (keys[at] == seen).all():
                     raise RuntimeError("the documents' partitions changed between two readings; write them to a table first")
                 total = np.bincount(doc, nll[at][codes], len(texts))
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(np.bincount(doc, minlength=len(texts)).astype(np.int64)), pa.array(total)], [id_col, "lang", "chars", "nll"])
+            chars = np.bincount(doc, minlength=len(texts)).astype(np.int64)
+            yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(chars), pa.array(total)], [*keep, "__chars", "__nll"])
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("__chars", T.LongType()), T.StructField("__nll", T.DoubleType())])
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(score, schema)
 
-    return docs.mapInArrow(score, schema)
+
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(id_col, lang, chars, nll) of every row of docs, by a model of the rows of `trusted`."""
+    docs = from_files(docs, "quality-docs")
+    told = _scored(docs, _looked_up(docs, trusted, text_col), text_col, [id_col, lang_col])
+    return told.select(id_col, F.col(lang_col).alias("lang"), F.col("__chars").alias("chars"), F.col("__nll").alias("nll"))
 
 
 def _answers(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
-    system, root = pafs.FileSystem.from_uri(folder)
-    files = [f.path for f in system.get_file_info(pafs.FileSelector(f"{root}/part={part}")) if f.path.endswith(".parquet")]
-    tables = [pq.read_table(system.open_input_file(f), columns=["key", "nll"]) for f in files]
-    found = pa.concat_tables(tables)
+    found = read_part(folder, part, ["key", "nll"])
+    if found is None:
+        return np.zeros(0, np.int64), np.zeros(0)
     keys, nll = found.column("key").to_numpy(), found.column("nll").to_numpy()
     order = np.argsort(keys, kind="stable")
     return keys[order], nll[order]
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Judges every row: id_col, lang, chars, log_perplexity (nats per character), threshold, rejected.
+class _Limits:
+    """A language's mean and threshold, from the trusted rows of `scored` (id, lang, chars, nll)."""
 
-    Trusted are the rows whose id is labelled 1, all of them. A document is rejected if its log perplexity, mixed with PRIOR_CHARS
-    characters of its language's mean, lies above the language's threshold: QUANTILE of the trusted texts plus SLACK times its distance
-    from their median. A language without trusted texts, or a null one, takes the quantiles of all. Null and empty texts have no
-    perplexity and are kept; without any trusted text nothing is rejected. Repeated rows each give a row; an empty table gives none."""
-    ids = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    trusted = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("trusted_id"), "left_semi")
-    scored = cut(perplexities(docs, trusted, id_col, lang_col, text_col), "quality")
-    known = scored.filter("chars > 0").join(ids, F.col(id_col) == F.col("trusted_id"), "left_semi")
-    overall = known.agg((F.sum("nll") / F.sum("chars")).alias("mean")).first().mean
-    means = known.groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
+    def __init__(self, scored: DataFrame, ids: DataFrame, id_col: str):
+        known = scored.filter("chars > 0").join(ids, F.col(id_col) == F.col("trusted_id"), "left_semi")
+        self.mean = known.agg((F.sum("nll") / F.sum("chars")).alias("mean")).first().mean
+        self.means = known.groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
+        judged = cut(self._mixed(known), "quality-trusted")
+        self.threshold = self._limit(judged).first().threshold
+        self.by_lang = cut(self._limit(judged.groupBy("lang")), "quality-limits")
 
-    def small(df: DataFrame) -> DataFrame:
+    @staticmethod
+    def _small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_LANGS else df
 
-    def mixed(df: DataFrame) -> DataFrame:
-        mean = F.coalesce("mean", F.lit(overall), F.lit(0.0))
-        return df.join(small(means).withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("mixed", (F.col("nll") + PRIOR_CHARS * mean) / (F.col("chars") + PRIOR_CHARS)).drop("of", "mean")
+    def _mixed(self, df: DataFrame) -> DataFrame:
+        mean = F.coalesce("mean", F.lit(self.mean), F.lit(0.0))
+        joined = df.join(self._small(self.means).withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left")
+        return joined.withColumn("mixed", (F.col("nll") + PRIOR_CHARS * mean) / (F.col("chars") + PRIOR_CHARS)).drop("of", "mean")
 
-    def limits(df: DataFrame) -> DataFrame:
+    @staticmethod
+    def _limit(df):
         q = F.percentile_approx("mixed", [0.5, QUANTILE], 10_000)
         return df.agg((q[1] + SLACK * (q[1] - q[0])).alias("threshold"))
 
-    judged = cut(mixed(known), "quality-trusted")
-    all_langs = limits(judged).first().threshold
-    by_lang = small(cut(limits(judged.groupBy("lang")), "quality-limits")).withColumnRenamed("lang", "of")
-    out = mixed(scored).join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(all_langs).cast("double")))
-    return out.select(
-        id_col, "lang", "chars", F.when(F.col("chars") > 0, F.col("nll") / F.col("chars")).alias("log_perplexity"), "threshold",
-        F.coalesce((F.col("chars") > 0) & (F.col("mixed") > F.col("threshold")), F.lit(False)).alias("rejected"),
-    )
+    def judge(self, df: DataFrame) -> DataFrame:
+        """df (lang, chars, nll, ...) with threshold and rejected."""
+        limits = self._small(self.by_lang).withColumnRenamed("lang", "of")
+        out = self._mixed(df).join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(self.threshold).cast("double")))
+        return out.withColumn("rejected", F.coalesce((F.col("chars") > 0) & (F.col("mixed") > F.col("threshold")), F.lit(False))).drop("mixed", "of")
+
+
+def _trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+    ids = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted_id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return ids, docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("trusted_id"), "left_semi")
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """Judges every row: id_col, lang, chars, log_perplexity (nats per character), threshold, rejected.
+
+    Trusted are the rows whose id is labelled 1, all of them. A document is rejected if its log perplexity, mixed with PRIOR_CHARS
+    characters of its language's mean, lies above the language's threshold: QUANTILE of the trusted texts plus SLACK times its distance
+    from their median. A language without trusted texts, or a null one, takes the quantiles of all. Null and empty texts have no
+    perplexity and are kept; without any trusted text nothing is rejected. Repeated rows each give a row; an empty table gives none."""
+    ids, trusted = _trusted(docs, labels, id_col, text_col, label_col)
+    scored = cut(perplexities(docs, trusted, id_col, lang_col, text_col), "quality")
+    told = _Limits(scored, ids, id_col).judge(scored)
+    return told.select(id_col, "lang", "chars", F.when(F.col("chars") > 0, F.col("nll") / F.col("chars")).alias("log_perplexity"), "threshold", "rejected")
+
+
+def reject_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs, with all their columns, that quality() doesn't reject, decided row by row."""
+    docs = from_files(docs, "quality-docs")
+    ids, trusted = _trusted(docs, labels, id_col, text_col, label_col)
+    answers = _looked_up(docs, trusted, text_col)
+    narrow = _scored(docs, answers, text_col, [id_col, lang_col]).select(id_col, F.col(lang_col).alias("lang"), F.col("__chars").alias("chars"), F.col("__nll").alias("nll"))
+    limits = _Limits(cut(narrow, "quality"), ids, id_col)
+    whole = _scored(docs, answers, text_col, docs.columns)
+    packed = whole.select(F.struct(*docs.columns).alias("__row"), F.col(lang_col).alias("lang"), F.col("__chars").alias("chars"), F.col("__nll").alias("nll"))
+    return limits.judge(packed).filter(~F.col("rejected")).select("__row.*")
