@@ -26,7 +26,8 @@ def current(history: DataFrame, amount: Column | None = None) -> DataFrame:
 
 def durations(history: DataFrame) -> DataFrame:
     """(stage, average_days): closed intervals by stage."""
-    days = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / DAY_MICROS
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    days = (micros("ended_at") - micros("started_at")) / DAY_MICROS
     return history.filter(F.col("ended_at").isNotNull()).groupBy("stage").agg(F.avg(days).alias("average_days"))
 
 

@@ -24,7 +24,7 @@ def export(df: DataFrame, path: str, kind: str = "csv", max_rows: int | None = M
     if max_rows is not None and n > max_rows:
         raise SpecError("export_limit", f"{n} rows")
     if kind == "csv":
-        flat(df).write.csv(path, header=True, emptyValue="", nullValue="", escape='"')
+        flat(df).write.csv(path, header=True, lineSep="\r\n", emptyValue="", nullValue="", escape='"')
     elif kind == "jsonl":
         df.write.json(path, ignoreNullFields=False)
     else:
