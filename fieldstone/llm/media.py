@@ -195,10 +195,10 @@ def member(system, path: str, info: zipfile.ZipInfo, tries: int = TRIES) -> byte
             if len(data) != info.compress_size or zlib.crc32(data) != info.CRC:
                 raise OSError(f"damaged member {info.filename} of {path}")
             return data
-        except (OSError, ValueError, struct.error):
+        except (OSError, ValueError, struct.error) as e:
             _OPEN.pop(path, None)
             if not left:
-                raise
+                raise OSError(f"member {info.filename} of {path} can't be read: {e}") from e
             time.sleep(0.1 * (tries - left))
     raise AssertionError
 
