@@ -70,7 +70,7 @@ def term_rank(occurrences: Column) -> Column:
 def utf8_truncate(x: Column, size: int) -> Column:
     """The longest beginning of a text that has at most `size` bytes of UTF-8, without a broken character at its end."""
     head = F.substring(F.encode(x, "UTF-8"), 1, size)
-    return F.when(F.octet_length(x) <= size, x).otherwise(F.regexp_replace(F.decode(head, "UTF-8"), "�+$", ""))
+    return F.when(F.octet_length(x) <= size, x).otherwise(F.regexp_replace(F.make_valid_utf8(head.cast("string")), "�+$", ""))
 
 
 def strip_markdown(x: Column) -> Column:

@@ -3,7 +3,7 @@
 Shingles have a global order: by a sketch of their frequency, then by hash. Documents of equal sets are one node. Nodes that share one
 of their first shingles in that order, so few that two sets similar enough must share one, are candidates. The order is cut into fragments; a candidate
 pair's overlap is counted in each fragment by itself and summed. In each bucket of candidates all are compared with one hub first; what
-remains are pairs between components, less those that lengths or the distances to the hub (Jaccard distance is a metric) rule out.
+remains are pairs between components, less those that lengths, histograms or the distances to the hub (Jaccard distance is a metric) rule out.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import cut, flags_of, from_files, read_part, slices, write_by_parti
 #: Counters of the frequency sketch, and bits of the filters that are broadcast (powers of two): bounds whatever the corpus.
 COUNTERS, FILTER_BITS = 1 << 18, 1 << 23
 FRAGMENTS = 4
+#: Ranges of the histogram by which unlikely pairs are ruled out (a power of two).
+BINS = 64
 #: Partitions' sketches that one task adds up, and rounds of adding: enough for a million partitions.
 FAN_IN, ROUNDS, CHUNKS = 32, 4, 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -104,6 +106,12 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """Counts of a set's shingles in BINS ranges of the hash, up to 255. The sum of two histograms' differences is at most the number of
+    shingles that only one of the sets holds."""
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     """How many documents hold shingles of each counter; added up in a tree of tasks, in chunks."""
 
@@ -192,22 +200,33 @@ def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [
                     part.column(0), pa.array(np.arange(at, at + len(texts))), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([_first_shingles(s, counts, percent).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([histogram(s) for s in sets], pa.binary()),
                 ],
-                ["id", "row", "check", "n", "node", "head"],
+                ["id", "row", "check", "n", "node", "head", "bins"],
             )
             at += len(texts)
 
-    known = cut(rows.mapInArrow(nodes, f"id {docs.schema[id_col].dataType.simpleString()}, row long, check long, n long, node long, head array<long>"), "nodes")
+    known = cut(rows.mapInArrow(nodes, f"id {docs.schema[id_col].dataType.simpleString()}, row long, check long, n long, node long, head array<long>, bins binary"), "nodes")
     shared = cut(known.select(F.explode("head").alias("shingle"), "node").groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("shingle", "hub"), "hubs")
     members = cut(_sifted(known, shared).join(shared, "shingle").distinct(), "members")
-    size_of = known.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"))
+    size_of = cut(known.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bins").alias("bins")), "sizes")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with their lengths, without those whose lengths or histograms keep them from being similar enough."""
+        side = lambda p: size_of.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("bins").alias(f"{p}_bins"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        alike = both.filter((F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100))
+
+        def near(batches):
+            for batch in batches:
+                a, b, a_n, b_n = (batch.column(i).to_numpy() for i in range(4))
+                bins = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for i in (4, 5)]
+                keep = np.abs(bins[0] - bins[1]).sum(axis=1) * (100 + percent) <= (a_n + b_n) * (100 - percent)
+                yield pa.record_batch([pa.array(x[keep]) for x in (a, b, a_n, b_n)], ["a", "b", "a_n", "b_n"])
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs whose lengths let them be similar enough."""
-        both = pairs.join(size_of.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a").join(size_of.select(F.col("node").alias("b"), F.col("n").alias("b_n")), "b")
-        return both.filter((F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100))
+        return alike.select("a", "b", "a_n", "b_n", "a_bins", "b_bins").mapInArrow(near, "a long, b long, a_n long, b_n long")
 
-    first = cut(sized(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "pairs")
+    first = cut(likely(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "pairs")
     compared, segments = _compared(first, rows.select("text"), None, size, sketch)
     linked = _linked(F.col("inter"), F.col("a_n"), F.col("b_n"), percent)
     links = compared.filter(linked).select("a", "b")
@@ -217,13 +236,13 @@ def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
     distance = compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("inter") / (F.col("a_n") + F.col("b_n") - F.col("inter"))).alias("far"))
-    left = cut(placed.join(open_, "shingle", "left_semi").filter("node <> hub").join(distance, ["node", "hub"], "left").join(size_of, "node"), "open")
+    left = cut(placed.join(open_, "shingle", "left_semi").filter("node <> hub").join(distance, ["node", "hub"], "left").join(size_of.select("node", "n"), "node"), "open")
     side = lambda p: left.select("shingle", *(F.col(c).alias(f"{p}{d}") for c, d in (("node", ""), ("n", "_n"), ("component", "_component"), ("far", "_far"))))
     close = (F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100)
     apart = F.coalesce(F.abs(F.col("a_far") - F.col("b_far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    crossed = side("a").join(side("b"), "shingle").filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & close & apart).select("a", "b", "a_n", "b_n").distinct()
+    crossed = side("a").join(side("b"), "shingle").filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & close & apart).select("a", "b").distinct()
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossed = cut(crossed.join(done, ["a", "b"], "left_anti"), "crossed")
+    crossed = cut(likely(crossed.join(done, ["a", "b"], "left_anti")), "crossed")
     if not crossed.isEmpty():
         second, _ = _compared(crossed, rows.select("text"), segments, size, sketch)
         labels = components(links.unionByName(second.filter(linked).select("a", "b")))
@@ -231,7 +250,7 @@ def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = known.filter("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = groups.select("node", "component").join(least, "component")
-    told = known.drop("head").join(of_node, "node", "left")
+    told = known.drop("head", "bins").join(of_node, "node", "left")
     return told.select("id", "row", "check", "n", "node", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
