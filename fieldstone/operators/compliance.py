@@ -38,9 +38,10 @@ def proposals(submissions: DataFrame) -> DataFrame:
     one = submissions.groupBy("team_id", "queue_key", "proposed_hash").agg(F.count(F.lit(1)).alias("submissions"), F.max("submitted_seq").alias("submitted_seq"))
     in_queue = F.row_number().over(Window.partitionBy("team_id", "queue_key").orderBy(F.desc("submitted_seq")))
     ranked = one.withColumn("in_queue", in_queue)
-    kept = ranked.filter(F.col("in_queue") <= PER_QUEUE).withColumn("in_team", F.row_number().over(Window.partitionBy("team_id").orderBy(F.desc("submitted_seq"))))
-    marked = kept.select(*one.columns, F.when(F.col("in_team") <= PER_TEAM, "pending").otherwise("superseded").alias("status"))
-    return marked.unionByName(ranked.filter(F.col("in_queue") > PER_QUEUE).select(*one.columns, F.lit("superseded").alias("status")))
+    newest = ranked.filter(F.col("in_queue") <= PER_QUEUE).withColumn("in_team", F.row_number().over(Window.partitionBy("team_id").orderBy(F.desc("submitted_seq"))))
+    # The filter on the rank lets each task cut its share of a team to a thousand before the shuffle.
+    pending = newest.filter(F.col("in_team") <= PER_TEAM).select("team_id", "queue_key", "proposed_hash", F.lit("pending").alias("status"))
+    return one.join(pending, ["team_id", "queue_key", "proposed_hash"], "left").select(*one.columns, F.coalesce("status", F.lit("superseded")).alias("status"))
 
 
 def contact_points(records: DataFrame, states: DataFrame, column: str, id_col: str = "id") -> DataFrame:

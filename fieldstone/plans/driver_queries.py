@@ -6,12 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldstone.catalog import Attribute, ObjectType, Rule
 from fieldstone.functions.text import normalize_registry, normalize_text, normalize_url, tokens
-from fieldstone.operators import access, compliance, data_quality, derived, history, links, matching, mutation, pipeline, search
+from fieldstone.operators import access, compliance, data_quality, derived, history, links, lookup, matching, mutation, pipeline, search
 from fieldstone.plans.filters import Sources, apply_filter
 from fieldstone.plans.paging import Sort, page, total
 from fieldstone.sources import exports
@@ -540,3 +540,85 @@ def audit_chain(spark, d):
     seed = F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("").alias("prev_hash"), F.lit("").alias("entry_hash"), F.lit("").alias("body")))
     log = chained.select("org_id", F.inline(F.aggregate("all", seed, link))).filter("seq >= 0")
     return exports.chain_breaks(log).agg(F.count(F.lit(1)).alias("breaks"))
+
+
+@query("SELECT c_custkey AS asked, CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 1 ELSE c_custkey END AS id FROM customer WHERE CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 1 ELSE c_custkey END IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3 AND c_acctbal >= 0)")
+def lookup_redirect(spark, d):
+    null = F.lit(None).cast("timestamp")
+    rows = _companies(spark, d).withColumn("merged_into_id", F.when(F.col("id") % 10 == 3, F.col("id") - 1)).withColumn("deleted_at", F.when(F.col("balance") < 0, F.current_timestamp()).otherwise(null)).withColumn("erased_at", null)
+    return lookup.redirected(rows).select("asked", "id")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (5, 3, 99, 7, 100000000)")
+def lookup_many(spark, d):
+    found, _ = lookup.get_many(_companies(spark, d), [5, 3, 99, 7, 100_000_000])
+    return found.select("id", "name")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE lower(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) = (SELECT lower(p_name) FROM part WHERE p_partkey = 11)")
+def lookup_unique(spark, d):
+    parts = _products(spark, d)
+    first = parts.filter("id = 11").first()
+    return lookup.by_unique(parts, "name", F.lit(first.name if first else None), normalize_text).select("id")
+
+
+@query("SELECT event_id AS id, ts AS occurred_at FROM events WHERE event_type = 'purchase' AND (ts < TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND event_id < 500)) ORDER BY ts DESC, event_id DESC LIMIT 51")
+def events_scan(spark, d):
+    rows = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("occurred_at"), F.col("event_type").alias("type"))
+    return lookup.events_page(rows, cursor=(F.lit("2024-01-20").cast("timestamp"), 500), type="purchase").select("id", "occurred_at")
+
+
+@query("SELECT o_orderkey AS record_id, o_custkey AS position, round(o_totalprice, 2) AS amount FROM orders WHERE o_orderstatus = 'P' ORDER BY o_custkey, o_orderkey LIMIT 51")
+def list_entries(spark, d):
+    deals = _deals(spark, d)
+    entries = deals.select(F.col("status").alias("list_id"), F.col("id").alias("record_id"), F.col("company_id").alias("position"))
+    lists = deals.select(F.col("status").alias("list_id")).distinct()
+    return lookup.list_entries(entries, lists, deals.select(F.col("id").alias("record_id"), F.round("amount", 2).alias("amount")), "P").select("record_id", "position", "amount")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '1996-01-01' AND o_orderdate >= TIMESTAMP '1995-01-01'")
+def tasks_list(spark, d):
+    of = ObjectType("task", (Attribute("status", "status"), Attribute("due_at", "datetime")))
+    rows = _deals(spark, d).withColumnRenamed("close_date", "due_at")
+    return apply_filter(rows, lookup.tasks_filter(status="O", due_before="1996-01-01", due_after="1995-01-01"), of).select("id")
+
+
+@query("SELECT DISTINCT p_brand AS option FROM part")
+def options_in_use(spark, d):
+    return lookup.options_in_use(_products(spark, d), "brand")
+
+
+@query("""SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'restricted' ELSE 'public' END AS sensitivity, count(*) AS changes, count(CASE WHEN l_suppkey % 2 <> 0 THEN l_quantity END) AS "values" FROM lineitem GROUP BY 1""")
+def feed_redacted(spark, d):
+    from fieldstone.streaming.feed import events
+
+    rows = _t(spark, d, "lineitem").select(F.lit("set").alias("kind"), F.col("l_quantity").alias("value"), F.expr("if(l_suppkey % 2 = 0, 'restricted', 'public')").alias("sensitivity"))
+    return events(rows, ["record.updated"], "sensitivity").groupBy("sensitivity").agg(F.count(F.lit(1)).alias("changes"), F.count("value").alias("values"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS f, o_orderkey AS t FROM orders), s AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 9000)
+  SELECT id FROM s UNION SELECT t FROM a JOIN s ON f = id UNION SELECT f FROM a JOIN s ON t = id""")
+def derived_impact(spark, d):
+    edges = _company_links(spark, d).withColumn("active_until", F.lit(None).cast("timestamp"))
+    return derived.impacted(_companies(spark, d).filter("balance > 9000").select("id"), edges)
+
+
+@query("""WITH m AS (SELECT c_custkey - c_custkey % 4 + 1 AS survivor_id, c_custkey AS loser_id FROM customer WHERE c_custkey % 4 IN (2, 3)),
+  e AS (SELECT survivor_id, loser_id AS x FROM m UNION SELECT survivor_id, survivor_id FROM m)
+  SELECT survivor_id, CASE min(CASE c_nationkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END) WHEN 0 THEN 'private' WHEN 1 THEN 'users' ELSE 'team' END AS visibility FROM e JOIN customer ON c_custkey = x GROUP BY 1""")
+def merge_visibility(spark, d):
+    return mutation.merged_visibility(_owned(spark, d), _merges(spark, d))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS name, c_acctbal < 0 AS erased FROM customer")
+def erase_records(spark, d):
+    rows = _companies(spark, d).select("id", "name", F.lit(None).cast("timestamp").alias("erased_at"), "balance")
+    out = mutation.erase(rows, rows.filter("balance < 0").select("id"), ["name"], F.lit("2024-01-01").cast("timestamp"))
+    return out.select("id", "name", F.col("erased_at").isNotNull().alias("erased"))
+
+
+@query("""WITH p AS (SELECT event_type AS value, user_id AS record_id FROM events GROUP BY ALL) SELECT record_id, value, value = 'purchase' AS confirmed, value = 'error' AS archived FROM p""")
+def contact_points(spark, d):
+    rows = _t(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.collect_set("event_type").alias("kinds"))
+    states = _t(spark, d, "events").select(F.sha2("event_type", 256).alias("value_hash"), (F.col("event_type") == "purchase").alias("confirmed"), (F.col("event_type") == "error").alias("archived")).distinct()
+    return compliance.contact_points(rows, states, "kinds")
