@@ -2,8 +2,8 @@
 
 Shingles have a global order: by a sketch of their frequency, then by hash. Documents of equal sets are one node. Nodes that share one
 of their first shingles in that order, so few that two sets similar enough must share one, are candidates. The order is cut into fragments; a candidate
-pair's overlap is counted in each fragment by itself and summed. In each bucket of candidates all are compared with one hub first; what
-remains are pairs between components, less those that lengths, histograms or the distances to the hub (Jaccard distance is a metric) rule out.
+pair's overlap is counted in each fragment by itself and summed. In each bucket of candidates all are compared with a few hubs first; what
+remains are pairs between components, less those that lengths, histograms or the distances to the hubs (Jaccard distance is a metric) rule out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from .common import cut, flags_of, from_files, read_part, slices, write_by_partition
 
 #: Counters of the frequency sketch, and bits of the filters that are broadcast (powers of two): bounds whatever the corpus.
-COUNTERS, FILTER_BITS = 1 << 18, 1 << 23
+COUNTERS, FILTER_BITS = 1 << 22, 1 << 23
+#: Nodes of a bucket that others are compared with at once, and further such rounds, in which only what isn't in a bucket's largest
+#: component is compared with nodes of that. All other pairs are compared at the end.
+HUBS, ROUNDS_MORE = 4, 4
 FRAGMENTS = 4
 #: Ranges of the histogram by which unlikely pairs are ruled out (a power of two).
 BINS = 64
@@ -116,32 +119,32 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     """How many documents hold shingles of each counter; added up in a tree of tasks, in chunks."""
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint32)
         for _, own in slices(batches):
-            sets = shingle_sets(own, size)
-            total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            at, n = np.unique((np.concatenate(shingle_sets(own, size)) % np.uint64(COUNTERS)).astype(np.int64), return_counts=True)
+            total[at] += n.astype(np.uint32)
         part = TaskContext.get().partitionId()
         parts = total.reshape(CHUNKS, -1)
-        yield pa.record_batch([pa.array([part] * CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "chunk", "counts"])
+        yield pa.record_batch([pa.array([part] * CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(x.astype("<u4").tobytes(), 1) for x in parts], pa.binary())], ["part", "chunk", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = reduce(np.add, (np.frombuffer(x.as_py(), np.int64) for x in group.column("counts")))
-        return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int64()), "chunk": group.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = reduce(np.add, (np.frombuffer(zlib.decompress(x.as_py()), "<u4") for x in group.column("counts")))
+        return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int64()), "chunk": group.column("chunk").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     df = texts.mapInArrow(count, "part long, chunk int, counts binary")
     for _ in range(ROUNDS):
         df = df.groupBy(F.expr(f"part div {FAN_IN}").alias("level"), F.col("chunk").alias("of")).applyInArrow(add, "part long, chunk int, counts binary")
-    out = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
+    out = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint32)
     for r in df.collect():
-        out[r.chunk] += np.frombuffer(r.counts, np.int64)
+        out[r.chunk] += np.frombuffer(zlib.decompress(r.counts), "<u4")
     return out.ravel()
 
 
 def _pivots(sketch: np.ndarray) -> np.ndarray:
     """Frequencies at which the order is cut, so that fragments hold about as many shingles each."""
     order = np.sort(sketch)
-    mass = np.cumsum(order)
-    return order[np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)] if mass[-1] else np.zeros(FRAGMENTS - 1, np.int64)
+    mass = np.cumsum(order, dtype=np.int64)
+    return order[np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)] if mass[-1] else np.zeros(FRAGMENTS - 1, np.uint32)
 
 
 def least_overlap(n, percent: int):
@@ -200,16 +203,18 @@ def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [
                     part.column(0), pa.array(np.arange(at, at + len(texts))), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([_first_shingles(s, counts, percent).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                    pa.array([histogram(s) for s in sets], pa.binary()),
+                    pa.array([histogram(s) for s in sets], pa.binary()), pa.array([np.bincount((s >> np.uint64(61)).astype(np.int64), minlength=8).tolist() for s in sets], pa.list_(pa.int32())),
                 ],
-                ["id", "row", "check", "n", "node", "head", "bins"],
+                ["id", "row", "check", "n", "node", "head", "bins", "coarse"],
             )
             at += len(texts)
 
-    known = cut(rows.mapInArrow(nodes, f"id {docs.schema[id_col].dataType.simpleString()}, row long, check long, n long, node long, head array<long>, bins binary"), "nodes")
-    shared = cut(known.select(F.explode("head").alias("shingle"), "node").groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("shingle", "hub"), "hubs")
+    known = cut(rows.mapInArrow(nodes, f"id {docs.schema[id_col].dataType.simpleString()}, row long, check long, n long, node long, head array<long>, bins binary, coarse array<int>"), "nodes")
+    shared = cut(known.select(F.explode("head").alias("shingle"), "node").groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("shingle"), "shared")
     members = cut(_sifted(known, shared).join(shared, "shingle").distinct(), "members")
-    size_of = cut(known.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bins").alias("bins")), "sizes")
+    hubs = cut(members.groupBy("shingle").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"hub{i}") for i in range(HUBS)]), "hubs")
+    with_hubs = members.join(hubs, "shingle").select("shingle", "node", F.posexplode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("nth", "hub"))
+    size_of = cut(known.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("coarse").alias("coarse")), "sizes")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with their lengths, without those whose lengths or histograms keep them from being similar enough."""
@@ -226,22 +231,51 @@ def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return alike.select("a", "b", "a_n", "b_n", "a_bins", "b_bins").mapInArrow(near, "a long, b long, a_n long, b_n long")
 
-    first = cut(likely(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "pairs")
+    first = cut(likely(with_hubs.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()), "pairs")
     compared, segments = _compared(first, rows.select("text"), None, size, sketch)
     linked = _linked(F.col("inter"), F.col("a_n"), F.col("b_n"), percent)
     links = compared.filter(linked).select("a", "b")
     labels = components(links)
 
-    # Buckets whose members aren't one component yet: what the hub left open.
-    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-    distance = compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("inter") / (F.col("a_n") + F.col("b_n") - F.col("inter"))).alias("far"))
-    left = cut(placed.join(open_, "shingle", "left_semi").filter("node <> hub").join(distance, ["node", "hub"], "left").join(size_of.select("node", "n"), "node"), "open")
-    side = lambda p: left.select("shingle", *(F.col(c).alias(f"{p}{d}") for c, d in (("node", ""), ("n", "_n"), ("component", "_component"), ("far", "_far"))))
+    def open_members() -> DataFrame:
+        """Members, with their components, of buckets that hold more than one."""
+        placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
+        return cut(placed.join(mixed, "shingle", "left_semi"), "placed")
+
+    done = cut(first.select("a", "b"), "done")
+    placed = open_members()
+    for n in range(1, ROUNDS_MORE + 1):
+        largest = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top")).filter("top.size > 1")
+        inside = placed.join(largest.select("shingle", F.col("top.component").alias("component")), ["shingle", "component"])
+        some = inside.groupBy("shingle").agg(F.first("component").alias("of"), *[F.min_by("node", F.xxhash64("node", F.lit(n * HUBS + i))).alias(f"hub{i}") for i in range(HUBS)])
+        others = placed.join(some, "shingle").filter(F.col("component") != F.col("of")).select("node", F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub"))
+        fresh = cut(likely(others.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")), "pairs")
+        if fresh.isEmpty():
+            break
+        more, segments = _compared(fresh, rows.select("text"), segments, size, sketch)
+        done, compared = done.unionByName(fresh.select("a", "b")), compared.unionByName(more)
+        new = more.filter(linked).select("a", "b")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        labels = components(links)
+        placed = open_members()
+
+    # What is left: pairs across the components of a bucket.
+    far = 1 - F.col("inter") / (F.col("a_n") + F.col("b_n") - F.col("inter"))
+    apart_from = compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), far.alias("far")).unionByName(compared.select(F.col("b").alias("node"), F.col("a").alias("hub"), far.alias("far")))
+    told = with_hubs.join(placed.select("shingle").distinct(), "shingle", "left_semi").join(apart_from, ["node", "hub"], "left")
+    is_hub = F.max((F.col("node") == F.col("hub")).cast("int")).alias("is_hub")
+    distances = told.groupBy("shingle", "node").agg(is_hub, *[F.max(F.when(F.col("nth") == i, F.col("far"))).alias(f"far{i}") for i in range(HUBS)])
+    fars = [f"far{i}" for i in range(HUBS)]
+    left = cut(distances.filter("is_hub = 0").drop("is_hub").join(placed, ["shingle", "node"]).join(size_of.select("node", "n", *[F.col("coarse")[i].alias(f"c{i}") for i in range(8)]), "node"), "open")
+    side = lambda p: left.select("shingle", *(F.col(c).alias(f"{p}{d}") for c, d in (("node", ""), ("n", "_n"), ("component", "_component"), *((x, f"_{x}") for x in fars), *((f"c{i}", f"_c{i}") for i in range(8)))))
     close = (F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100)
-    apart = F.coalesce(F.abs(F.col("a_far") - F.col("b_far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    crossed = side("a").join(side("b"), "shingle").filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & close & apart).select("a", "b").distinct()
-    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = reduce(lambda x, y: x & y, [F.coalesce(F.abs(F.col(f"a_{x}") - F.col(f"b_{x}")) <= 1 - percent / 100 + 1e-9, F.lit(True)) for x in fars])
+    # A histogram of eight ranges in the join's own condition keeps unlikely pairs from ever being rows.
+    rough = reduce(lambda x, y: x + y, [F.abs(F.col(f"a_c{i}") - F.col(f"b_c{i}")) for i in range(8)]) * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+    crossed = side("a").join(side("b"), "shingle").filter(rough & (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & close & apart).select("a", "b").distinct()
     crossed = cut(likely(crossed.join(done, ["a", "b"], "left_anti")), "crossed")
     if not crossed.isEmpty():
         second, _ = _compared(crossed, rows.select("text"), segments, size, sketch)
@@ -250,7 +284,7 @@ def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = known.filter("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = groups.select("node", "component").join(least, "component")
-    told = known.drop("head", "bins").join(of_node, "node", "left")
+    told = known.drop("head", "bins", "coarse").join(of_node, "node", "left")
     return told.select("id", "row", "check", "n", "node", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
