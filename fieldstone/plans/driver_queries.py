@@ -361,6 +361,14 @@ def match_fuzzy(spark, d):
     return matching.fuzzy_pairs(_products(spark, d).select(F.col("id").alias("record_id"), F.col("name").alias("value")), 0.7).withColumn("score", F.round("score", 6))
 
 
+@query("""WITH g AS (SELECT DISTINCT value, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT p_name AS value, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM part), range(1, 200) r(i) WHERE i <= length(w) + 1),
+  n AS (SELECT value, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.value AS x, b.value AS y, count(*) AS i FROM g a JOIN g b ON a.g = b.g GROUP BY 1, 2),
+  s AS (SELECT x, y FROM p JOIN n nx ON nx.value = x JOIN n ny ON ny.value = y WHERE i / (nx.n + ny.n - i) >= 0.7)
+  SELECT r.p_partkey AS record_id, min(o.p_partkey) FILTER (o.p_name = r.p_name) AS representative, count(*) - 1 AS links FROM part r JOIN s ON s.x = r.p_name JOIN part o ON o.p_name = s.y GROUP BY 1""")
+def match_fuzzy_members(spark, d):
+    return matching.fuzzy_members(_products(spark, d).select(F.col("id").alias("record_id"), F.col("name").alias("value")), 0.7)
+
+
 _PAIRS = "p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS score FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
 
 

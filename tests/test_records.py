@@ -218,6 +218,20 @@ def test_fuzzy_and_semantic_pairs_lose_nothing(spark):
     assert {(r.a, r.b) for r in got} == want
 
 
+def test_fuzzy_members_and_links_reach_every_record(spark):
+    names = [(1, "alpha beta"), (2, "alpha beta"), (3, "Alpha  beta"), (4, "alpha betas"), (5, "gamma"), (6, "gamma"), (7, "delta"), (8, None), (9, "--"), (10, "--"), (11, "alpha betas")]
+    df = spark.createDataFrame(names, "record_id long, value string")
+    grams = lambda s: {("  " + w + " ")[i : i + 3] for w in s.lower().split() for i in range(len(w) + 1)}
+    known = [(i, n) for i, n in names if n and n != "--"]
+    near = {i: {j for j, m in known if j != i and len(grams(n) & grams(m)) / len(grams(n) | grams(m)) >= 0.5} for i, n in known}
+    got = {r.record_id: r for r in matching.fuzzy_members(df, 0.5).collect()}
+    assert {i: r.links for i, r in got.items()} == {i: len(x) for i, x in near.items()}
+    assert {i: r.representative for i, r in got.items()} == {i: min(j for j, m in known if m == n) for i, n in known}
+    links = matching.fuzzy_links(df, 0.5)
+    assert {(r.a, r.b) for r in links.filter("score = 1").collect()} >= {(1, 2), (4, 11), (5, 6)}
+    assert {r.record_id: r.component for r in matching.components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 11: 1, 5: 5, 6: 5}
+
+
 def test_keys_and_components(spark):
     df = spark.createDataFrame([(1, " A  b", ["x", "y"]), (2, "a B", ["y"]), (3, "", ["y"]), (4, None, None)], "id long, name string, tags array<string>")
     keys = matching.match_keys(df, Rule("r", ("name", "tags")), multi=frozenset({"tags"}))
