@@ -6,6 +6,7 @@ the answers come back as a table for each partition in the shared folder, so tha
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,12 @@ BROADCAST_IDS, BROADCAST_LANGS = 1_000_000, 10_000
 PRIOR_CHARS = 64
 #: Rejection starts above this quantile of trusted texts in the language, by SLACK times its distance from the median.
 QUANTILE, SLACK = 0.99, 1.0
+#: Parts of the trusted texts, each scored for the thresholds by a model of the others alone. Copies of a text are in one part.
+FOLDS = 2
+#: Distinct trusted texts from which a language has a threshold of its own.
+MIN_TRUSTED = 50
+#: With fewer, the threshold lies above the median of all the language's texts by this many times the median's distance from LOW, their low quantile.
+SPREAD, LOW = 3.0, 0.01
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +113,9 @@ def _surprise(wanted: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> D
     return below.select("key", (-F.ln("p")).alias("nll"))
 
 
-def _looked_up(docs: DataFrame, trusted: DataFrame, text_col: str) -> str:
-    """Fits the model on `trusted` and answers, for each partition of docs, what its 4-grams cost: the folder of (part, key, nll)."""
-    levels = _levels(cut(_counts(trusted, text_col), "kn4"))
+def _looked_up(docs: DataFrame, counts: DataFrame, text_col: str) -> str:
+    """Fits the model on `counts` and answers, for each partition of docs, what its 4-grams cost: the folder of (part, key, nll)."""
+    levels = _levels(counts)
 
     def asks(batches):
         held = np.zeros(0, np.int64)
@@ -155,7 +162,11 @@ def _scored(docs: DataFrame, answers: str, text_col: str, keep: list[str]) -> Da
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(id_col, lang, chars, nll) of every row of docs, by a model of the rows of `trusted`."""
     docs = from_files(docs, "quality-docs")
-    told = _scored(docs, _looked_up(docs, trusted, text_col), text_col, [id_col, lang_col])
+    return _narrow(docs, _looked_up(docs, cut(_counts(trusted, text_col), "kn4"), text_col), id_col, lang_col, text_col)
+
+
+def _narrow(docs: DataFrame, answers: str, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    told = _scored(docs, answers, text_col, [id_col, lang_col])
     return told.select(id_col, F.col(lang_col).alias("lang"), F.col("__chars").alias("chars"), F.col("__nll").alias("nll"))
 
 
@@ -168,16 +179,43 @@ def _answers(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], nll[order]
 
 
+def _fitted(trusted: DataFrame, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The counts of all trusted texts, and (lang, text_hash, chars, nll) of each of them by a model of the other folds alone."""
+    folds = [trusted.filter(F.pmod("__hash", F.lit(FOLDS)) == f) for f in range(FOLDS)]
+    counts = [cut(_counts(part, text_col), "kn-fold") for part in folds]
+
+    def total(some: list[DataFrame]) -> DataFrame:
+        return cut(reduce(DataFrame.unionByName, some).groupBy("key").agg(F.sum("n").alias("n")), "kn4") if len(some) > 1 else some[0]
+
+    held = []
+    for f, part in enumerate(folds):
+        told = _scored(part, _looked_up(part, total(counts[:f] + counts[f + 1 :]), text_col), text_col, ["__hash", lang_col])
+        told = told.select(F.col(lang_col).alias("lang"), F.col("__hash").alias("text_hash"), F.col("__chars").alias("chars"), F.col("__nll").alias("nll"))
+        held.append(cut(told, "quality-held"))  # by itself: in a union partitions have other numbers
+    return total(counts), reduce(DataFrame.unionByName, held)
+
+
 class _Limits:
-    """A language's mean and threshold, from the trusted rows of `scored` (id, lang, chars, nll)."""
+    """A language's mean and threshold, from trusted rows `held` (lang, text_hash, chars, nll) that models without them scored. A language
+    with fewer than MIN_TRUSTED distinct trusted texts takes the threshold of all, raised over the bulk of its own rows in `scored` (lang,
+    chars, nll); one with fewer than MIN_TRUSTED different rows there too has none."""
 
-    def __init__(self, scored: DataFrame, ids: DataFrame, id_col: str):
-        known = scored.filter("chars > 0").join(ids, F.col(id_col) == F.col("trusted_id"), "left_semi")
+    def __init__(self, held: DataFrame, scored: DataFrame):
+        known = held.filter("chars > 0")
         self.mean = known.agg((F.sum("nll") / F.sum("chars")).alias("mean")).first().mean
         self.means = known.groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
         judged = cut(self._mixed(known), "quality-trusted")
-        self.threshold = self._limit(judged).first().threshold
-        self.by_lang = cut(self._limit(judged.groupBy("lang")), "quality-limits")
+        kinds = cut(judged.select("lang", "text_hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kinds")), "quality-kinds")
+        enough = kinds.filter(F.col("kinds") >= MIN_TRUSTED).select(F.col("lang").alias("of"))
+        own = judged.join(self._small(enough), F.col("lang").eqNullSafe(F.col("of")), "left_semi")
+        limits = self._limit(own.groupBy("lang"))
+        if (kinds.agg(F.sum("kinds")).first()[0] or 0) >= MIN_TRUSTED:
+            rest = self._mixed(scored.filter("chars > 0").join(self._small(enough), F.col("lang").eqNullSafe(F.col("of")), "left_anti"))
+            q = F.percentile_approx("mixed", [LOW, 0.5], 10_000)
+            bulk = rest.select("lang", "mixed").distinct().groupBy("lang").agg((q[1] + SPREAD * (q[1] - q[0])).alias("threshold"), F.count(F.lit(1)).alias("n"))
+            every = F.lit(self._limit(judged).first().threshold)
+            limits = limits.unionByName(bulk.filter(F.col("n") >= MIN_TRUSTED).select("lang", F.greatest("threshold", every).alias("threshold")))
+        self.by_lang = cut(limits, "quality-limits")
 
     @staticmethod
     def _small(df: DataFrame) -> DataFrame:
@@ -196,14 +234,17 @@ class _Limits:
     def judge(self, df: DataFrame) -> DataFrame:
         """df (lang, chars, nll, ...) with threshold and rejected."""
         limits = self._small(self.by_lang).withColumnRenamed("lang", "of")
-        out = self._mixed(df).join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(self.threshold).cast("double")))
+        out = self._mixed(df).join(limits, F.col("lang").eqNullSafe(F.col("of")), "left")
         return out.withColumn("rejected", F.coalesce((F.col("chars") > 0) & (F.col("mixed") > F.col("threshold")), F.lit(False))).drop("mixed", "of")
 
 
-def _trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+def _trusted(docs: DataFrame, labels: DataFrame, id_col: str, lang_col: str, text_col: str, label_col: str) -> DataFrame:
+    """The trusted rows of docs: language, text and the text's hash. They are read several times: written first where the join shuffles."""
     ids = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return ids, docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("trusted_id"), "left_semi")
+    few = ids.count() <= BROADCAST_IDS
+    found = docs.select(id_col, lang_col, text_col).join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("trusted_id"), "left_semi")
+    found = found.select(lang_col, text_col, F.xxhash64(text_col).alias("__hash"))
+    return found if few else cut(found, "quality-texts")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -211,21 +252,23 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col
 
     Trusted are the rows whose id is labelled 1, all of them. A document is rejected if its log perplexity, mixed with PRIOR_CHARS
     characters of its language's mean, lies above the language's threshold: QUANTILE of the trusted texts plus SLACK times its distance
-    from their median. A language without trusted texts, or a null one, takes the quantiles of all. Null and empty texts have no
+    from their median, each text scored by a model without it. Languages with fewer than MIN_TRUSTED distinct trusted texts, and the
+    null one alike, take the threshold of all trusted texts or, if higher, one above the bulk of their own rows (SPREAD, LOW); with too few
+    rows for that, they have no threshold and nothing is rejected. Null and empty texts have no
     perplexity and are kept; without any trusted text nothing is rejected. Repeated rows each give a row; an empty table gives none."""
-    ids, trusted = _trusted(docs, labels, id_col, text_col, label_col)
-    scored = cut(perplexities(docs, trusted, id_col, lang_col, text_col), "quality")
-    told = _Limits(scored, ids, id_col).judge(scored)
+    docs = from_files(docs, "quality-docs")
+    counts, held = _fitted(_trusted(docs, labels, id_col, lang_col, text_col, label_col), lang_col, text_col)
+    scored = cut(_narrow(docs, _looked_up(docs, counts, text_col), id_col, lang_col, text_col), "quality")
+    told = _Limits(held, scored).judge(scored)
     return told.select(id_col, "lang", "chars", F.when(F.col("chars") > 0, F.col("nll") / F.col("chars")).alias("log_perplexity"), "threshold", "rejected")
 
 
 def reject_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of docs, with all their columns, that quality() doesn't reject, decided row by row."""
     docs = from_files(docs, "quality-docs")
-    ids, trusted = _trusted(docs, labels, id_col, text_col, label_col)
-    answers = _looked_up(docs, trusted, text_col)
-    narrow = _scored(docs, answers, text_col, [id_col, lang_col]).select(id_col, F.col(lang_col).alias("lang"), F.col("__chars").alias("chars"), F.col("__nll").alias("nll"))
-    limits = _Limits(cut(narrow, "quality"), ids, id_col)
+    counts, held = _fitted(_trusted(docs, labels, id_col, lang_col, text_col, label_col), lang_col, text_col)
+    answers = _looked_up(docs, counts, text_col)
+    limits = _Limits(held, cut(_narrow(docs, answers, id_col, lang_col, text_col), "quality"))
     whole = _scored(docs, answers, text_col, docs.columns)
     packed = whole.select(F.struct(*docs.columns).alias("__row"), F.col(lang_col).alias("lang"), F.col("__chars").alias("chars"), F.col("__nll").alias("nll"))
     return limits.judge(packed).filter(~F.col("rejected")).select("__row.*")

@@ -310,6 +310,34 @@ def test_quality_rejects_junk_and_keeps_clean_rows(spark, none):
     assert quality.quality(none, labels).count() == 0
 
 
+def test_quality_spares_languages_with_few_trusted_texts(spark):
+    rnd = random.Random(6)
+    own = {"en": ["the", "cat", "sat", "on", "a", "mat", "and", "ran"], "es": ["el", "gato", "duerme", "sobre", "una", "mesa", "muy", "vieja", "hoy"]}
+    clean = lambda lang, n: " ".join(rnd.choice(own[lang]) for _ in range(n))
+    data = [(i, clean("en", rnd.randint(20, 80)), "en", "s", 1, 0.1, "n") for i in range(150)]
+    data += [(1000 + i, clean("es", rnd.randint(20, 80)), "es", "s", 1, 0.1, "n") for i in range(120)]
+    data += [(3000 + i, clean("es", 30), "pt", "s", 1, 0.1, "n") for i in range(5)]
+    docs = spark.createDataFrame(data, DOCS).repartition(3)
+    for n in (0, 1, 3):
+        labels = spark.createDataFrame([(i, 1, 0) for i in [*range(150), *range(1000, 1000 + n)]], "doc_id long, quality int, toxic int")
+        got = quality.quality(docs, labels).collect()
+        assert len(got) == len(data) and not [r for r in got if r.rejected and r.lang != "en"]
+
+
+def test_quality_thresholds_come_from_models_without_the_text(spark):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abcdefghij ") for _ in range(120)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    counts, held = quality._fitted(docs.select("lang", "text", F.xxhash64("text").alias("__hash")), "lang", "text")
+    hashes = [r.h for r in docs.orderBy("doc_id").select(F.xxhash64("text").alias("h")).collect()]
+    told = {r.text_hash: r.nll for r in held.collect()}
+    assert len(told) == 60
+    for t, h in list(zip(texts, hashes))[:5]:
+        others = [x for x, g in zip(texts, hashes) if g % quality.FOLDS != h % quality.FOLDS]
+        assert told[h] == pytest.approx(brute_nll(others, t), rel=1e-9)
+    assert counts.agg(F.sum("n")).first()[0] == 60 * 120
+
+
 def test_licences_are_found_and_confirmed(spark, none):
     noise = "\n".join(f"plain words of paragraph {i} about the weather and of trees in the wood" for i in range(40))
     data = [(1, noise + "\nReleased under the MIT License.\n" + noise), (2, noise), (3, None), (4, ""), (5, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0."), (5, "Licensed under the Apache License, Version 2.0."), (6, "the license of the version of the work")]
