@@ -345,3 +345,13 @@ def test_licences_are_found_and_confirmed(spark, none):
     assert sorted((r.doc_id, r.family) for r in got) == [(1, "mit"), (5, "apache-2.0"), (5, "apache-2.0")]
     assert next(r.paragraph for r in got if r.doc_id == 1) == 40
     assert licenses.scan(none).count() == 0
+
+
+def test_licence_level_covers_all_paragraphs_with_repeats(spark):
+    plain = "\n".join(f"plain words of paragraph {i} about the weather and of trees in the wood" for i in range(1500))
+    odd = "mit license released project mit license terms released mit license"
+    data = [(1, plain), (2, "\n".join([odd] * 6)), (3, "Released under the MIT License.")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = licenses.scan(df, background=20).collect()
+    assert [r.doc_id for r in got if r.confirmed] == [3]
+    assert sum(not r.confirmed for r in got) <= licenses.FALSE_SHARE * 1506
