@@ -540,14 +540,27 @@ def export_jsonl(spark, d):
     return exports.jsonl(_companies(spark, d), ["id", "name", "segment", "balance"])
 
 
-@query("""WITH e AS (SELECT conv_id AS org_id, turn AS seq, role || ':' || text AS body FROM conversations) SELECT CAST(0 AS BIGINT) AS breaks""")
-def audit_chain(spark, d):
+def _audit_log(spark, d):
     rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("org_id"), F.col("turn").alias("seq"), F.concat("role", F.lit(":"), "text").alias("body"))
     chained = rows.groupBy("org_id").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("all"))
     link = lambda s, e: F.concat(s, F.array(F.struct(e["seq"].alias("seq"), s[F.size(s) - 1]["entry_hash"].alias("prev_hash"), F.sha2(F.concat(s[F.size(s) - 1]["entry_hash"], F.lit("\n"), e["body"]), 256).alias("entry_hash"), e["body"].alias("body"))))
     seed = F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("").alias("prev_hash"), F.lit("").alias("entry_hash"), F.lit("").alias("body")))
-    log = chained.select("org_id", F.inline(F.aggregate("all", seed, link))).filter("seq >= 0")
-    return exports.chain_breaks(log).agg(F.count(F.lit(1)).alias("breaks"))
+    return chained.select("org_id", F.inline(F.aggregate("all", seed, link))).filter("seq >= 0")
+
+
+@query("""WITH e AS (SELECT conv_id AS org_id, turn AS seq, role || ':' || text AS body FROM conversations) SELECT CAST(0 AS BIGINT) AS breaks""")
+def audit_chain(spark, d):
+    return exports.chain_breaks(_audit_log(spark, d)).agg(F.count(F.lit(1)).alias("breaks"))
+
+
+@query("""WITH e AS (SELECT conv_id AS org_id, turn AS seq, (31 * conv_id + turn) % 7 AS k FROM conversations), p AS (SELECT *, lag(k) OVER (PARTITION BY org_id ORDER BY seq) AS before FROM e)
+  SELECT org_id, seq FROM p WHERE k IN (1, 2, 3) OR before = 2""")
+def audit_chain_broken(spark, d):
+    """Changed bodies, entry hashes and previous hashes; a changed entry hash breaks the entry after it too."""
+    k = (31 * F.col("org_id") + F.col("seq")) % 7
+    changed = {"body": (1, F.concat("body", F.lit("!"))), "entry_hash": (2, F.sha2(F.lit("x"), 256)), "prev_hash": (3, F.sha2(F.lit("y"), 256))}
+    log = _audit_log(spark, d).select("org_id", "seq", *[F.when(k == n, x).otherwise(F.col(c)).alias(c) for c, (n, x) in changed.items()])
+    return exports.chain_breaks(log).select("org_id", "seq")
 
 
 @query("SELECT c_custkey AS asked, CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 1 ELSE c_custkey END AS id FROM customer WHERE CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 1 ELSE c_custkey END IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3 AND c_acctbal >= 0)")
