@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -66,27 +69,30 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 3
             at += n
 
 
-def flags_of(df: DataFrame, key: str, bits: int) -> np.ndarray:
-    """A filter of `bits` bits (a power of two): bit key mod bits is set for every key. It says no surely, yes maybe, at any size."""
-    bit = F.pmod(key, F.lit(bits))
-    words = df.select(bit.alias("bit")).groupBy(F.expr("bit div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
-    flags = np.zeros(bits // 64, np.int64)
-    for r in words:
-        flags[r.word] = r.bits
-    return flags
+#: Directories of a table that tasks look up by their partition's number, at most.
+PLACES = 4096
 
 
-def write_by_partition(df: DataFrame, label: str) -> str:
-    """df (part, ...) in a folder of the shared folder with a place for each part, for tasks that know their partition's number."""
-    path = scratch(df.sparkSession, label)
-    df.repartition("part").write.partitionBy("part").parquet(path)
-    return path
+@dataclass(frozen=True)
+class Places:
+    """A table whose rows lie where the task of their partition finds them: `each` partitions share a directory, in order."""
+
+    folder: str
+    each: int
 
+    def read(self, part: int, columns: list[str]) -> pa.Table | None:
+        system, root = pafs.FileSystem.from_uri(self.folder)
+        files = [f.path for f in system.get_file_info(pafs.FileSelector(f"{root}/place={part // self.each}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        found = [pq.read_table(f, columns=columns, filters=[("part", "==", part)], filesystem=system, partitioning=None) for f in files]
+        return pa.concat_tables(found) if found else None
 
-def read_part(folder: str, part: int, columns: list[str]) -> pa.Table | None:
-    system, root = pafs.FileSystem.from_uri(folder)
-    files = [f.path for f in system.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True)) if f.path.endswith(".parquet")]
-    return pa.concat_tables([pq.read_table(system.open_input_file(f), columns=columns) for f in files]) if files else None
+
+def write_by_partition(df: DataFrame, label: str, parts: int) -> Places:
+    """df (part, ...) in the shared folder, for tasks that know the number of their partition, one of `parts`."""
+    spark = df.sparkSession
+    path, each = scratch(spark, label), -(-parts // PLACES) or 1
+    df.withColumn("place", F.expr(f"part div {each}")).repartition("place").sortWithinPartitions("place", "part").write.option("compression", "zstd").partitionBy("place").parquet(path)
+    return Places(path, each)
 
 
 def from_files(docs: DataFrame, label: str) -> DataFrame:

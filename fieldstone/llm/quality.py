@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, from_files, read_part, slices, write_by_partition
+from .common import Places, cut, from_files, slices, write_by_partition
 
 ORDER = 4
 #: Distinct n-grams that a task holds before it passes on what it has counted.
@@ -113,8 +113,8 @@ def _surprise(wanted: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> D
     return below.select("key", (-F.ln("p")).alias("nll"))
 
 
-def _looked_up(docs: DataFrame, counts: DataFrame, text_col: str) -> str:
-    """Fits the model on `counts` and answers, for each partition of docs, what its 4-grams cost: the folder of (part, key, nll)."""
+def _looked_up(docs: DataFrame, counts: DataFrame, text_col: str) -> Places:
+    """Fits the model on `counts` and answers, for each partition of docs, what its 4-grams cost: a place of (part, key, nll)."""
     levels = _levels(counts)
 
     def asks(batches):
@@ -132,10 +132,10 @@ def _looked_up(docs: DataFrame, counts: DataFrame, text_col: str) -> str:
 
     wanted = cut(docs.select(text_col).mapInArrow(asks, "part long, key long"), "kn-asked")
     told = _surprise(wanted.select("key").distinct(), levels)
-    return write_by_partition(wanted.join(told, "key"), "kn-told")
+    return write_by_partition(wanted.join(told, "key"), "kn-told", docs.rdd.getNumPartitions())
 
 
-def _scored(docs: DataFrame, answers: str, text_col: str, keep: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, answers: Places, text_col: str, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with __chars and __nll, the sum over a text's characters. docs is read a second time here, and each
     partition has to hold the rows that it held before."""
 
@@ -165,13 +165,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", la
     return _narrow(docs, _looked_up(docs, cut(_counts(trusted, text_col), "kn4"), text_col), id_col, lang_col, text_col)
 
 
-def _narrow(docs: DataFrame, answers: str, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+def _narrow(docs: DataFrame, answers: Places, id_col: str, lang_col: str, text_col: str) -> DataFrame:
     told = _scored(docs, answers, text_col, [id_col, lang_col])
     return told.select(id_col, F.col(lang_col).alias("lang"), F.col("__chars").alias("chars"), F.col("__nll").alias("nll"))
 
 
-def _answers(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
-    found = read_part(folder, part, ["key", "nll"])
+def _answers(places: Places, part: int) -> tuple[np.ndarray, np.ndarray]:
+    found = places.read(part, ["key", "nll"])
     if found is None:
         return np.zeros(0, np.int64), np.zeros(0)
     keys, nll = found.column("key").to_numpy(), found.column("nll").to_numpy()
