@@ -69,6 +69,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 3
             at += n
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; by sorting, which beats a hash table where most values are distinct."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))]
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and for each of x the place of its value among them."""
+    order = np.argsort(x, kind="stable")
+    own = x[order]
+    new = np.concatenate((np.ones(min(1, len(x)), bool), own[1:] != own[:-1]))
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return own[new], at
+
+
 #: Directories of a table that tasks look up by their partition's number, at most.
 PLACES = 4096
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Places, cut, from_files, slices, write_by_partition
+from .common import Places, cut, from_files, ranked, slices, write_by_partition
 
 #: Shingles of a bucket of the hash, about, and of a task's portion of them.
 BUCKET, PORTION = 1 << 20, 1 << 21
@@ -143,8 +143,8 @@ def _spread(texts: DataFrame, size: int, repeats: Places, bits: int) -> DataFram
     def run(batches):
         part = TaskContext.get().partitionId()
         for portion, sets in _portions(batches, size, _repeats(repeats), part << 40):
-            keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-            counts = np.minimum(counts, 255).astype(np.uint8)
+            keys, at = ranked(np.concatenate(sets))
+            counts = np.minimum(np.bincount(at), 255).astype(np.uint8)
             cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             low = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
             own = np.flatnonzero(np.diff(cuts))
@@ -162,7 +162,7 @@ def _spread(texts: DataFrame, size: int, repeats: Places, bits: int) -> DataFram
 def _told(group: pa.Table) -> pa.Table:
     """For a bucket's portions the magnitude (number of bits) of each shingle's count over all portions."""
     keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("keys")]
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    found, at = ranked(np.concatenate(keys))
     total = np.bincount(at, np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("counts")]), len(found))
     told = np.frexp(total)[1].astype(np.uint8)[at]
     ends = np.cumsum([len(k) for k in keys])
@@ -177,13 +177,12 @@ def _reduced(texts: DataFrame, size: int, percent: int, repeats: Places, told: P
         part = TaskContext.get().partitionId()
         answers = told.read(part, ["portion", "bucket", "told"])
         for portion, sets in _portions(batches, size, _repeats(repeats), part << 40):
-            every = np.concatenate(sets)
-            keys = np.unique(every)
+            keys, at = ranked(np.concatenate(sets))
             own = answers.filter(pa.compute.equal(answers.column("portion"), portion)).sort_by("bucket") if answers else None
             magnitude = np.frombuffer(b"".join(own.column("told").to_pylist()), np.uint8) if own else np.zeros(0, np.uint8)
             if len(magnitude) != len(keys):
                 raise RuntimeError("the documents' partitions changed between two readings; write them to a table first")
-            magnitude = magnitude[np.searchsorted(keys, every)]
+            magnitude = magnitude[at]
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             alone = np.add.reduceat(magnitude == 1, np.cumsum(n) - n, dtype=np.int64)
             out, stop = [], np.cumsum(n)
