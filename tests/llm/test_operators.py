@@ -324,18 +324,21 @@ def test_quality_spares_languages_with_few_trusted_texts(spark):
         assert len(got) == len(data) and not [r for r in got if r.rejected and r.lang != "en"]
 
 
-def test_quality_thresholds_come_from_models_without_the_text(spark):
+def test_quality_scores_and_thresholds_come_from_models_without_the_text(spark):
     rnd = random.Random(7)
-    texts = ["".join(rnd.choice("abcdefghij ") for _ in range(120)) for _ in range(60)]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
-    counts, held = quality._fitted(docs.select("lang", "text", F.xxhash64("text").alias("__hash")), "lang", "text")
+    texts = ["".join(rnd.choice("abcdefghij ") for _ in range(rnd.randint(90, 150))) for _ in range(60)] + ["z" * 300 + "🙂𐍈" * 20]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    got = rows(quality.quality(docs, labels))
     hashes = [r.h for r in docs.orderBy("doc_id").select(F.xxhash64("text").alias("h")).collect()]
-    told = {r.text_hash: r.nll for r in held.collect()}
-    assert len(told) == 60
-    for t, h in list(zip(texts, hashes))[:5]:
-        others = [x for x, g in zip(texts, hashes) if g % quality.FOLDS != h % quality.FOLDS]
-        assert told[h] == pytest.approx(brute_nll(others, t), rel=1e-9)
-    assert counts.agg(F.sum("n")).first()[0] == 60 * 120
+    costs = [brute_nll([x for x, g in zip(texts[:60], hashes) if g % 2 != h % 2], t) for t, h in zip(texts, hashes)]
+    for r in [*got[:4], got[60]]:
+        assert r.log_perplexity == pytest.approx(costs[r.doc_id] / len(texts[r.doc_id]), rel=1e-9)
+    mean = sum(costs[:60]) / sum(map(len, texts[:60]))
+    mixed = [(c + quality.PRIOR_CHARS * mean) / (len(t) + quality.PRIOR_CHARS) for c, t in zip(costs, texts)]
+    limit = sorted(mixed[:60])[math.ceil(quality.QUANTILE * 60) - 1]
+    assert all(r.threshold == pytest.approx(limit, rel=1e-9) for r in got)
+    assert [r.rejected for r in got] == [m > limit * (1 + 1e-12) for m in mixed]
 
 
 def test_licences_are_found_and_confirmed(spark, none):
