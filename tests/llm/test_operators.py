@@ -358,3 +358,49 @@ def test_licence_level_covers_all_paragraphs_with_repeats(spark):
     got = licenses.scan(df, background=20).collect()
     assert [r.doc_id for r in got if r.confirmed] == [3]
     assert sum(not r.confirmed for r in got) <= licenses.FALSE_SHARE * 1506
+
+
+def test_licence_paragraphs_near_misses_and_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files, to deal in\nthe Software without restriction."
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation."
+    data = [
+        (1, "a 'MIT License' is one that we discussed under the tree"), (2, "This library is licensed under the GNU Lesser General Public License, version 3."),
+        (3, "Some words.\n\n" + mit + "\n\nOther words."), (4, gpl), (5, "Licensed under the\nApache License,\nVersion 2.0."),
+        (6, "Wind and rain. Released under the MIT License. The trees stood still."), (None, "Released under the MIT License."), (7, "x" * 400_000 + "\nReleased under the MIT License.\n" + "y z " * 100_000),
+    ]
+    got = [r for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect() if r.confirmed]
+    told = sorted(((r.doc_id or 0, r.family, r.paragraph, r.last_line) for r in got))
+    assert told == [(0, "mit", 0, 0), (2, "lgpl", 0, 0), (3, "mit", 2, 4), (4, "gpl", 0, 2), (5, "apache-2.0", 0, 2), (6, "mit", 0, 0), (7, "mit", 1, 1)]
+    assert all(any(a in t.lower() for a in licenses.ANCHORS) for ts in licenses.TEMPLATES.values() for t in ts)
+
+
+def test_licence_scores_and_agreement_against_plain_sums(spark):
+    import re
+
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts][::3] + licenses.NEGATIVES[:4] + ["Released under the MIT license terms of the project"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def terms(t):
+        w = [x for x in re.split(r"[^\w.]+|\.(?=\s|$)", t.lower().replace("_", " ")) if x]
+        return w, [f"{a} {b}" for a, b in zip(w, w[1:])] if len(w) > 1 else w
+
+    def agreement(t, family):
+        found = set(terms(t)[1])
+        sets = [set(terms(x)[1]) for x in licenses.TEMPLATES[family]]
+        return max(len(found & s) / len(s) for s in sets), len(found & set().union(*sets)) / len(found)
+
+    found = licenses.paragraphs(docs, "doc_id", "text").withColumn("agrees", F.lit(False))
+    vocabulary, model, _ = licenses.train(found, background=5)
+    place = {t: i for i, t in enumerate(vocabulary.vocabulary)}
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    scored = model.transform(licenses._features(found, vocabulary)).collect()
+    assert len(scored) >= 10
+    for r in scored:
+        x = np.zeros(len(place))
+        x[[place[t] for part in terms(r.text) for t in part if t in place]] = 1
+        z = weights @ x + bias
+        assert r.probability.toArray() == pytest.approx(np.exp(z - z.max()) / np.exp(z - z.max()).sum(), abs=1e-9)
+    for r in licenses.scan(docs).collect():
+        forward, backward = agreement(r.text, r.family)
+        assert r.similarity == pytest.approx(forward)
+        assert not r.confirmed or (forward >= licenses.FORWARD and backward >= licenses.BACKWARD and forward >= max(agreement(r.text, f)[0] for f in licenses.TEMPLATES))
