@@ -101,11 +101,11 @@ ORACLES: dict[str, str] = {
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
           UNION ALL SELECT {EXTRA_CONVERSATION}, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '{EXTRA_TEXT}' FROM range(2) t(n)
         ), shown AS (
-          SELECT *, length('{chat.OPEN}') + length({_escaped("role")}) + length('{chat.SHUT}') + length({_escaped("text")}) + length('{chat.CLOSE}') AS n FROM turns
+          SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, length('{chat.OPEN}') + length({_escaped("role")}) + length('{chat.SHUT}') + length({_escaped("text")}) + length('{chat.CLOSE}') AS n FROM turns
         ), told AS (
           SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss, sum(n) AS n
-          FROM shown GROUP BY conv_id
+          FROM shown GROUP BY conv_id, lone
         )
         SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars,
           CAST(0 AS INTEGER) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
