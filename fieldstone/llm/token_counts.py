@@ -3,62 +3,41 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import slices
-from .library_pieces import LibraryPieces, library, special_parts, special_tokens, units_of
+from .library_pieces import LibraryPieces, byte_signs, library, special_parts, special_tokens, units_of
 from .pretokens import tokenizers_classes
 
-#: Entries of the broadcast table, and of each summary on the way to it: its size bound, whatever the corpus.
-FREQUENT = 4096
-#: Summaries that one task merges, and rounds of merging: enough for a million partitions.
-FAN_IN, ROUNDS = 32, 4
+#: Entries of the broadcast table: its size bound, whatever the corpus.
+FREQUENT = 32_768
 
 
-def _top(counts: Counter, n: int) -> str:
-    return json.dumps(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n])
-
-
-def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", size: int = FREQUENT) -> list[str]:
-    """The most frequent pre-tokens of all texts. Every partition counts its own in bounded memory (rare ones may be forgotten when
-    there are too many) and gives one summary of `size` entries; summaries are merged in a tree of tasks, the driver gets the last."""
-    classes = tokenizers_classes()
-
-    def count(batches):
-        counts: Counter = Counter()
-        for _, texts in slices(batches, text_col):
-            counts.update(units_of(texts, classes)[0])
-            if len(counts) > 64 * size:
-                counts = Counter(dict(counts.most_common(16 * size)))
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([_top(counts, size)])], ["part", "summary"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        counts: Counter = Counter()
-        for s in group.column("summary"):
-            counts.update(dict(json.loads(s.as_py())))
-        return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int64()), "summary": [_top(counts, size)]})
-
-    df = docs.select(text_col).mapInArrow(count, "part long, summary string")
-    for _ in range(ROUNDS):
-        df = df.groupBy(F.expr(f"part div {FAN_IN}").alias("level")).applyInArrow(merge, "part long, summary string")
-    counts: Counter = Counter()
-    for row in df.collect():
-        counts.update(dict(json.loads(row.summary)))
-    return [p for p, _ in json.loads(_top(counts, size))]
+def frequent_pieces(path: str, size: int = FREQUENT) -> list[str]:
+    """Frequent pre-tokens, in small letters and with a capital, as the file's own vocabulary tells them: its whole words in the order in
+    which they were merged, the most frequent first. No text is read for it; what else is frequent, the worker caches learn."""
+    model = json.loads(library(path).to_str())["model"]
+    suffix, signs = model.get("end_of_word_suffix") or "", {c: b for b, c in byte_signs().items()}
+    out: dict[str, None] = {}
+    for token, _ in sorted(model["vocab"].items(), key=lambda x: x[1]):
+        if token.endswith(suffix) and all(c in signs for c in token.removesuffix(suffix)):
+            word = bytes(signs[c] for c in token.removesuffix(suffix)).decode(errors="ignore")
+            if word.strip() and (word.isalpha() or len(word) == 1):
+                out |= dict.fromkeys((word, word[0].upper() + word[1:]))
+        if len(out) >= size:
+            break
+    return list(out)[:size]
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """Tokens of each whole text as the library's file at `path` gives them, without tokens added around it; special strings in a text
-    count as one token. Returns id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit). A null or empty text has 0 tokens;
-    repeated rows each give a row; an empty table gives none; other columns are not read."""
+    count as one token. Returns id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit). A null or empty text has 0 tokens; a
+    text of any length counts whole; repeated rows and null ids each give a row; an empty table gives none; other columns are not read."""
     spark, classes = docs.sparkSession, tokenizers_classes()
-    pieces = frequent_pieces(docs, path, text_col)
+    pieces = frequent_pieces(path)
     lengths = {p: len(e.ids) for p, e in zip(pieces, library(path).encode_batch_fast(pieces, add_special_tokens=False), strict=True)}
     frequent = spark.sparkContext.broadcast(lengths)
 
@@ -69,7 +48,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             flat, owner = [], []
             extra = np.zeros(len(texts), np.int64)
             for i, t in enumerate(texts):
-                for piece, special in special_parts(t, specials) if "<|" in t else [(t, None)]:
+                for piece, special in special_parts(t, specials) if any(x in t for x in specials) else [(t, None)]:
                     flat.append(piece)
                     owner.append(i)
                     extra[i] += special is not None
