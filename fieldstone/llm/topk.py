@@ -1,4 +1,7 @@
-"""Exact top-k search by inner product (op6): vectors grouped by length, pruned by local cosine thresholds, then verified."""
+"""Exact top-k search by inner product (op6): vectors grouped by length over the whole table, pruned by local cosine thresholds, then verified.
+
+One sort deals all vectors by length to ranges, whose shards hold vectors of about the same length. Each query starts from the k-th score
+that it has among the longest vectors and in its own shard, and goes only to ranges whose longest vector can reach that."""
 
 from __future__ import annotations
 
@@ -15,7 +18,8 @@ SHARD, BUCKET = 4096, 256
 #: Median local cosine threshold of a bucket from which candidates are pruned by a coordinate, else by length.
 COORDINATE_FROM = 0.5
 _LARGEST = 1 << 62
-_SCHEMA = "kind string, shard long, n int, dim int, ids binary, vectors binary, bounds binary"
+_SCHEMA = "kind string, g long, shard long, longest double, n int, dim int, ids binary, vectors binary, bounds binary"
+_FIELDS = ("shard", "n", "dim", "ids", "vectors", "bounds")
 
 
 class Best:
@@ -93,9 +97,14 @@ def _load(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64 if row["n"] * row["dim"] * 8 == len(row["vectors"]) else np.int16).reshape(row["n"], row["dim"]).astype(np.int64), np.frombuffer(row["bounds"], np.float64)
 
 
-def _row(kind: str, shard: int, ids: np.ndarray, vectors: np.ndarray, bounds: np.ndarray) -> tuple:
+def _row(kind: str, g: int, shard: int, longest: float, ids: np.ndarray, vectors: np.ndarray, bounds: np.ndarray) -> tuple:
     small = not vectors.size or np.abs(vectors).max() < 1 << 15
-    return kind, shard, len(ids), vectors.shape[1], ids.tobytes(), vectors.astype(np.int16 if small else np.int64).tobytes(), bounds.tobytes()
+    return kind, g, shard, longest, len(ids), vectors.shape[1], ids.tobytes(), vectors.astype(np.int16 if small else np.int64).tobytes(), bounds.tobytes()
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in _SCHEMA.split(", ")])
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, groups: int | None = None) -> DataFrame:
@@ -110,6 +119,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     whole = F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")))
     sound = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda e: F.coalesce((e == e) & (F.abs(e) < F.lit(float("inf"))), F.lit(False)))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, whole).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter("v is not null")
+    # Vectors of equal length are told apart by a hash, so that a frequent length spreads over ranges.
+    length = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
+    ranged = rows.withColumn("length", length).withColumn("tie", F.xxhash64("id", F.col("asks"))).repartitionByRange(groups, F.desc("length"), "tie").sortWithinPartitions(F.desc("length"), "tie").select("id", "v", "asks")
 
     def pack(batches):
         """Shards of candidates by falling length, and the queries among them with a bound: their k-th score within the shard."""
@@ -120,47 +132,79 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
             ids, asks = (np.concatenate([h[i] for h in held]) for i in (0, 2))
             width = max(h[1].shape[1] for h in held)
             vec = np.concatenate([np.pad(h[1], ((0, 0), (0, width - h[1].shape[1]))) for h in held])
-            order = np.lexsort((ids, -np.linalg.norm(vec.astype(np.float64), axis=1)))
+            lengths = np.linalg.norm(vec.astype(np.float64), axis=1)
+            order = np.lexsort((ids, -lengths))
             ids, vec, asks = ids[order], vec[order], asks[order]
-            shard = part << 24 | made
+            shard, longest = part << 24 | made, float(lengths.max(initial=0))
             made += 1
-            out = [_row("shard", shard, ids, vec, np.zeros(0))]
+            out = [_row("shard", part, shard, longest, ids, vec, np.zeros(0))]
             if asks.any():
                 best = Best(ids[asks], k, np.full(int(asks.sum()), -np.inf))
                 search(best, vec[asks], ids, vec)
-                out.append(_row("queries", shard, ids[asks], vec[asks], best.bounds))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], [f.split()[0] for f in _SCHEMA.split(", ")])
+                out.append(_row("queries", part, shard, longest, ids[asks], vec[asks], best.bounds))
+            return _batch(out)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                b = batch.slice(at, SHARD)
+            at = 0
+            while at < batch.num_rows:
+                b = batch.slice(at, SHARD - size)
                 lists = b.column(1)
-                lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-                vec = np.zeros((b.num_rows, int(lengths.max(initial=0))), np.int64)
-                vec[np.arange(vec.shape[1])[None] < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+                many = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                vec = np.zeros((b.num_rows, int(many.max(initial=0))), np.int64)
+                vec[np.arange(vec.shape[1])[None] < many[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
                 held.append((b.column(0).to_numpy(zero_copy_only=False), vec, b.column(2).to_numpy(zero_copy_only=False).astype(bool)))
-                size += b.num_rows
+                at, size = at + b.num_rows, size + b.num_rows
                 if size >= SHARD:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    packed = cut(rows.mapInArrow(pack, _SCHEMA), "topk")
-    shards = packed.filter("kind = 'shard'").select(F.pmod(F.xxhash64("shard"), F.lit(groups)).alias("g"), F.struct("shard", "n", "dim", "ids", "vectors", "bounds").alias("c"))
-    asked = packed.filter("kind = 'queries'").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.struct("shard", "n", "dim", "ids", "vectors", "bounds").alias("q"))
+    packed = cut(ranged.mapInArrow(pack, _SCHEMA), "topk")
+    of_kind = lambda kind: packed.filter(F.col("kind") == kind)
+    reach = {r.g: r.longest for r in of_kind("shard").groupBy("g").agg(F.max("longest").alias("longest")).collect()}  # a row for each range
+    first = of_kind("shard").orderBy(F.desc("longest"), "shard").limit(1).select(*_FIELDS).collect()  # one shard
+    longest = spark.sparkContext.broadcast((reach, [r.asDict() for r in first]))
+
+    def aim(batches):
+        """Query blocks with bounds raised by the longest vectors, once for each range that a query of the block can gain from."""
+        reach, shards = longest.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, vec, bounds = _load(row)
+                for s in shards:
+                    if s["shard"] != row["shard"]:
+                        best = Best(ids, k, bounds)
+                        search(best, vec, *_load(s)[:2])
+                        bounds = best.bounds
+                own = np.linalg.norm(vec.astype(np.float64), axis=1)
+                for g, top in reach.items():
+                    some = bounds <= own * top * (1 + 1e-9) + 1e-6
+                    if some.any():  # the others ask for what no vector reaches
+                        yield _batch([_row("queries", g, row["shard"], row["longest"], ids, vec, np.where(some, bounds, np.inf))])
+
+    asked = of_kind("queries").mapInArrow(aim, _SCHEMA).select("g", F.struct(*_FIELDS).alias("q"))
+    shards = of_kind("shard").select("g", F.struct(*_FIELDS).alias("c"))
 
     def meet(batches):
+        """The best of each query over the shards that follow one another for its block; a bound found in one holds in the next."""
+        held = None
+
+        def told():
+            found = [(held[0], n, int(held[2][n]), i, -s) for n, own in enumerate(held[1].found) for s, i in sorted(own)[:k]]
+            return [pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["block", "nth", "query_id", "vec_id", "score"])] if found else []
+
         for batch in batches:
             for i in range(batch.num_rows):
-                q, c = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                q_ids, q_vec, bounds = _load(q)
-                ids, vec, _ = _load(c)
-                best = Best(q_ids, k, bounds)
-                search(best, q_vec, ids, vec)
-                out = [(q["shard"], n, int(q_ids[n]), i, -s) for n, own in enumerate(best.found) for s, i in sorted(own)[:k]]
-                if out:
-                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["block", "nth", "query_id", "vec_id", "score"])
+                q = batch.column(0)[i].as_py()
+                if held is None or held[0] != q["shard"]:
+                    if held:
+                        yield from told()
+                    ids, vec, bounds = _load(q)
+                    held = (q["shard"], Best(ids, k, bounds), ids, vec)
+                search(held[1], held[3], *_load(batch.column(1)[i].as_py())[:2])
+        if held:
+            yield from told()
 
     met = asked.join(shards, "g").select("q", "c").mapInArrow(meet, "block long, nth long, query_id long, vec_id long, score long")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("block", "nth").orderBy(F.desc("score"), "vec_id")))
