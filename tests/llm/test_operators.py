@@ -213,11 +213,19 @@ def test_chat_round_trip_with_parts_and_control_strings(spark):
     assert got[2].turns_sha256 == told([("user", "first"), ("", "")]) and got[2].n_turns == 2
     assert (got[3].n_turns, got[3].loss_chars) == (2, 0)
     assert got[None].turns_sha256 == told([("user", "é🙂")])
+    lone = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "assistant", "b")], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
+    assert sorted((r.n_turns, r.formatted) for r in chat.format_conversations(lone).collect()) == [(1, "<s>[assistant]b</s>"), (1, "<s>[user]a</s>")]
+    long = spark.createDataFrame([(7, 0, "user", "u" * 200_000), (7, 1, "assistant", "[🙂]" * 100_000)], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
+    (r,) = chat.chat_digests(chat.format_conversations(long)).collect()
+    assert (r.loss_chars, r.loss_sha256) == (300_000, hashlib.sha256(("[🙂]" * 100_000).encode()).hexdigest())
     parts = spark.createDataFrame([(5, 0, "user", [("text", "see ", None, None), ("image", None, "a<b", None), (None, " and ", None, None), ("audio", None, "u", 7)]), (5, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
     one = chat.format_conversations(parts).first()
     assert one.expanded_tokens == chat.DEFAULT_TOKENS["image"] + 7
     assert [(a.turn, a.part, a.kind, a.ref) for a in one.attachments] == [(0, 0, "image", "a<b"), (0, 1, "audio", "u")]
     assert one.formatted == "<s>[user]see <image:a\\lb> and <audio:u></s><s>[assistant]</s>"
+    mixed = spark.createDataFrame([(5, 0, "user", [("text", "q", None, None)]), (5, 1, "assistant", [("text", "a<", None, None), ("image", None, "x", None), ("text", "b", None, None)])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    one = chat.format_conversations(mixed).first()
+    assert [one.formatted[m.start : m.start + m.length] for m in one.loss_mask] == ["a\\l", "b"]
     assert chat.format_conversations(parts.limit(0)).count() == 0
 
 
@@ -251,6 +259,46 @@ def test_toxicity_learns_and_leaves_held_out_rows_alone(spark, none):
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_ftrl_against_plain_sums():
+    rnd = random.Random(5)
+    data = [sorted(rnd.sample(range(30), rnd.randint(1, 8))) for _ in range(60)]
+    y = [int(3 in r or 7 in r) for r in data]
+    model = toxicity.Ftrl(l1=0.5, epochs=3)
+    at, values, bias = model.fit([np.array(r, np.int32) for r in data], np.array(y, float), np.ones(60), seed=1)
+    seen = [sum(f in r for r in data) for f in range(30)]
+    z, n, order = dict.fromkeys([*range(30), "bias"], 0.0), dict.fromkeys([*range(30), "bias"], 0.0), np.random.default_rng(1)
+
+    def weight(f):
+        l1 = 0 if f == "bias" else 0.5
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((model.beta + math.sqrt(n[f])) / model.alpha + model.l2)
+
+    for _ in range(3):
+        for i in order.permutation(60).tolist():
+            own = [f for f in data[i] if seen[f] >= model.min_rows] + ["bias"]
+            w = {f: weight(f) for f in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[i]
+            for f in own:
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / model.alpha
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    told = dict(zip(at.tolist(), values.tolist()))
+    assert {f for f in range(30) if weight(f)} == set(told) and 3 in told and 7 in told
+    assert all(told[f] == pytest.approx(weight(f), rel=1e-5) for f in told) and bias == pytest.approx(weight("bias"), rel=1e-9)
+
+
+def test_toxicity_scores_long_texts_whole_and_repeated_ids_once(spark):
+    docs, labels = toxic_table(spark)
+    more = docs.unionByName(docs.filter("doc_id = 4").crossJoin(spark.range(300)).drop("id"))
+    at, values, bias = toxicity.train(more, labels)
+    long = "w1 w2 " * 120_000 + "scum moron trash idiot"
+    got = toxicity.toxicity(more.unionByName(spark.createDataFrame([(9000, long, "en", "s", 1, 0.1, "n")], DOCS)), labels).filter("doc_id = 9000").first()
+    dense = toxicity._dense(at, values)
+    _, feature = toxicity.features([long], toxicity.word_hashes())
+    assert got.score == pytest.approx(1 / (1 + math.exp(-(bias + sum(dense[f] for f in set(feature.tolist()))))), rel=1e-6)
+    plain = toxicity.train(docs, labels)
+    assert (plain[0].tolist(), plain[1].tolist(), plain[2]) == (at.tolist(), values.tolist(), bias)
+
+
 def brute_nll(trusted, text):
     """Interpolated modified Kneser-Ney of order 4, as plainly as possible."""
     grams = {}
