@@ -78,3 +78,25 @@ def strip_markdown(x: Column) -> Column:
     x = F.regexp_replace(x, r"(?m)^\s{0,3}(#{1,6}|>|[-*+]|\d+\.)\s+", "")
     x = F.regexp_replace(x, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[*_`~]{1,3}", ""), r"\s+", " "))
+
+
+def canonical_json(entries: Column) -> Column:
+    """A map of strings as JSON whose keys are sorted: equal maps give equal strings."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def dedupe_by(values: Column, form=normalize_text) -> Column:
+    """The values whose normal form comes first among their like, in order."""
+    forms = F.transform(values, form)
+    return F.filter(values, lambda x, i: F.array_position(forms, form(x)) == i + 1)
+
+
+def ordered_union(lists: Column, form=normalize_text) -> Column:
+    """All values of lists, an array of arrays in order (the survivor's first), each normal form once."""
+    return dedupe_by(F.flatten(F.filter(lists, lambda x: x.isNotNull())), form)
+
+
+def rfc3339(x: Column) -> Column:
+    """The instant of a time with seconds and an offset or Z, in milliseconds; null for anything else."""
+    sound = x.rlike(r"^\d{4}-\d{2}-\d{2}[Tt]([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$")
+    return F.when(sound, F.date_trunc("MILLISECOND", F.try_to_timestamp(F.upper(x))))

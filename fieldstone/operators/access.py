@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Caller:
-    """Who asks: the team, the person (None sees nothing), and the channel, human or agent."""
+    """Who asks: the team, the person (None sees nothing), the channel, human or agent, the organisation, the person's role and, of an
+    agent, its app and name."""
 
     team: str
     principal: str | None
     channel: str = "human"
+    organization: str | None = None
+    role: str | None = None
+    app: str | None = None
+    agent: str | None = None
 
 
 def live(df: DataFrame, deleted: bool = False) -> DataFrame:
@@ -68,6 +73,49 @@ def policy(df: DataFrame, rules: DataFrame, caller: Caller, id_col: str = "id",
     return joined.withColumn("__policy", merged).filter(decision(F.col("__policy"), human)).select(*df.columns)
 
 
+def scoped(df: DataFrame, caller: Caller) -> DataFrame:
+    """Rows of the caller's organisation and team: the first filter of every read, which reaches the scan."""
+    return df.filter((F.col("organization_id") == caller.organization) & (F.col("team_id") == caller.team))
+
+
+def bound_rules(rules: DataFrame, bindings: DataFrame, caller: Caller, agent: bool, resource: str = "record", action: str = "view", sensitivity: str | None = None) -> DataFrame:
+    """The caller's rules on one side: those of the tenant, resource and action, bound to the person or the person's role, or with `agent`
+    to the agent by name or by its app's wildcard. A rule with a condition holds only for that sensitivity of an attribute."""
+    if agent:
+        holds = (F.col("actor_type") == "agent") & F.col("actor_id").isin(f"agent:{caller.app}:{caller.agent}", f"agent:{caller.app}:*")
+    else:
+        holds = (F.col("actor_type") == "human") & (F.col("actor_id") == caller.principal)
+        if caller.role is not None:
+            holds = holds | (F.col("actor_type") == "role") & (F.col("actor_id") == caller.role)
+    of = scoped(rules, caller).filter((F.col("resource_type") == resource) & (F.col("action") == action))
+    of = of.filter(F.col("condition").isNull() if sensitivity is None else F.col("condition").isNull() | (F.col("condition") == sensitivity))
+    return of.join(F.broadcast(bindings.filter(holds).select("rule_id").distinct()), "rule_id", "left_semi")
+
+
+def permitted(df: DataFrame, rules: DataFrame, bindings: DataFrame, caller: Caller, id_col: str = "id", type_col: str = "object_type", resource: str = "record", sensitivity: str | None = None) -> DataFrame:
+    """Rows that the person may view and, where an agent asks for the person, the agent too. People may view what no rule of theirs
+    speaks of; an agent has no standing right."""
+    out = policy(df, bound_rules(rules, bindings, caller, False, resource, sensitivity=sensitivity), replace(caller, channel="human"), id_col, type_col)
+    return policy(out, bound_rules(rules, bindings, caller, True, resource, sensitivity=sensitivity), caller, id_col, type_col) if caller.channel == "agent" else out
+
+
+def attribute_gate(df: DataFrame, rules: DataFrame, bindings: DataFrame, caller: Caller, sensitivities: list[str], id_col: str = "id", type_col: str = "object_type") -> DataFrame:
+    """Rows of which every attribute that a filter or sort reads, given by its sensitivity, may be viewed."""
+    for sensitivity in dict.fromkeys(sensitivities):
+        df = permitted(df, rules, bindings, caller, id_col, type_col, "attribute", sensitivity)
+    return df
+
+
+def record_set(records: DataFrame, grants: DataFrame, rules: DataFrame, bindings: DataFrame, caller: Caller, object_type: str, deleted: bool = False, reads: list[str] | None = None, id_col: str = "id") -> DataFrame:
+    """The records that a query starts from: the caller's tenant, one type, live (or deleted) ones, those visible to and permitted for the
+    caller, and of these the ones whose attributes of the sensitivities `reads` may be viewed."""
+    if caller.principal is None:
+        return records.filter(F.lit(False))
+    rows = live(scoped(records, caller).filter(F.col("object_type") == object_type), deleted)
+    rows = permitted(visible(rows, grants, caller, id_col), rules, bindings, caller, id_col)
+    return attribute_gate(rows, rules, bindings, caller, reads or [], id_col)
+
+
 def redact(df: DataFrame, sensitivity: dict[str, str], allowed: set[str]) -> DataFrame:
     """Null for attributes of a sensitivity that isn't allowed, whose names are listed in redacted_attributes."""
     hidden = sorted(c for c, s in sensitivity.items() if s not in allowed)

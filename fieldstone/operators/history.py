@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldstone.catalog import SpecError
+
 KIND_RANK = {"activity": 4, "change": 3, "note": 2, "task": 1}
 EVENT_NAMES = {"create": "record.created", "set": "record.updated", "unset": "record.updated", "restore": "record.updated", "delete": "record.deleted", "merge": "record.merged", "erase": "record.erased", "link": "link.created", "unlink": "link.ended", "schema": "schema.changed"}
 
@@ -32,6 +34,55 @@ def history(changes: DataFrame, slugs: list[str] | None = None) -> DataFrame:
     return (changes.filter(F.col("slug").isin(slugs)) if slugs else changes).orderBy(F.desc("occurred_at"), F.desc("seq"))
 
 
+def history_page(changes: DataFrame, record_id, slugs: list[str] | None = None, limit: int = 50, cursor: tuple | None = None) -> DataFrame:
+    """A page of a record's changes, newest first by (occurred_at, seq, id), after the cursor (those three); one row more if there is more."""
+    rows = changes.filter(F.col("record_id") == record_id)
+    rows = rows.filter(F.col("slug").isin(slugs)) if slugs else rows
+    key = F.struct("occurred_at", "seq", "id")
+    if cursor:
+        at = F.struct(F.lit(cursor[0]).cast("timestamp").alias("occurred_at"), F.lit(cursor[1]).cast(changes.schema["seq"].dataType).alias("seq"), F.lit(cursor[2]).cast(changes.schema["id"].dataType).alias("id"))
+        rows = rows.filter(key < at)
+    return rows.orderBy(key.desc()).limit(limit + 1)
+
+
+MAX_CHANGES = 200
+
+
+def changes_by_ids(changes: DataFrame, ids: list) -> DataFrame:
+    """The changes of these ids, 200 at most, with their place `nth` in the order asked."""
+    if not 1 <= len(ids) <= MAX_CHANGES:
+        raise SpecError("array_arity", f"1 to {MAX_CHANGES} ids")
+    asked = changes.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, ids))).alias("nth", "__id"))
+    return changes.join(F.broadcast(asked.withColumn("__id", F.col("__id").cast(changes.schema["id"].dataType))), changes["id"] == F.col("__id")).drop("__id")
+
+
+def pull(changes: DataFrame, cursor: int | None, head: int, visible: Column, batch: int = 500, batches: int = 10, beginning: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(events, (cursor, has_more)): at most `batches` times `batch` changes after the cursor are looked at, in the order of commits, and
+    those that the caller sees come back; the cursor moves over hidden ones too. Without a cursor the feed is at its head, or at its beginning."""
+    start = cursor if cursor is not None else (0 if beginning else head)
+    seen = changes.filter((F.col("seq") > start) & (F.col("seq") <= head)).orderBy("seq").limit(batch * batches)
+    state = seen.agg(F.coalesce(F.max("seq"), F.lit(start)).alias("cursor")).withColumn("has_more", F.col("cursor") < head)
+    if cursor is None and not beginning:
+        state = state.withColumn("has_more", F.lit(False))
+    return seen.filter(visible).withColumn("event", event_name(F.col("kind"))), state
+
+
+def watched(changes: DataFrame, record_ids: list, types: list[str]) -> DataFrame:
+    """Changes of the records, links with one of them at either end (from_id, to_id), and schema changes of their types."""
+    link = F.col("kind").isin("link", "unlink") & (F.col("from_id").isin(record_ids) | F.col("to_id").isin(record_ids))
+    schema = (F.col("kind") == "schema_change") & F.col("object_type").isin(types)
+    return changes.filter(F.coalesce(F.col("record_id").isin(record_ids), F.lit(False)) | F.coalesce(link, F.lit(False)) | F.coalesce(schema, F.lit(False)))
+
+
+STALE_DAYS = 30
+
+
+def fresh(subscriptions: DataFrame, last_seen: DataFrame, now: Column, days: int = STALE_DAYS) -> DataFrame:
+    """Subscriptions whose person was seen within the days; who was never seen is stale."""
+    seen = last_seen.filter(F.col("last_seen_at") >= now - F.make_dt_interval(F.lit(days))).select("team_id", "user_id").distinct()
+    return subscriptions.join(seen, ["team_id", "user_id"], "left_semi")
+
+
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(record_id, slug, kind, old, new) between two states (record_id, slug, value): set where a value is new or other, unset where it is gone."""
     b, a = before.withColumnRenamed("value", "old"), after.withColumnRenamed("value", "new")

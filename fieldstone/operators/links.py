@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstone.catalog import SpecError
+from fieldstone.plans.paging import Sort, page
 
 
 def active_at(at: Column | None = None) -> Column:
@@ -20,10 +21,24 @@ def projected(links: DataFrame) -> DataFrame:
 
 
 def list_links(links: DataFrame, record_id, relation: str | None = None, direction: str = "both", history: bool = False) -> DataFrame:
+    """All links of a record, newest first."""
+    return _listed(links, record_id, relation, direction, history).orderBy(F.desc("active_from"), F.desc("id"))
+
+
+def _listed(links: DataFrame, record_id, relation: str | None, direction: str, history: bool) -> DataFrame:
     ends = {"from": F.col("from_id") == record_id, "to": F.col("to_id") == record_id}
     hit = ends["from"] | ends["to"] if direction == "both" else ends[direction]
     out = links.filter(hit if history else hit & active_at())
-    return (out.filter(F.col("relation") == relation) if relation else out).orderBy(F.desc("active_from"), F.desc("id"))
+    return out.filter(F.col("relation") == relation) if relation else out
+
+
+def links_page(links: DataFrame, record_id, relation: str | None = None, direction: str = "both", history: bool = False, visible: DataFrame | None = None, limit: int = 50, cursor: tuple | None = None) -> DataFrame:
+    """A page of list_links(), newest first by (active_from, id), of links whose other end is among the ids `visible`, after the cursor."""
+    out = _listed(links, record_id, relation, direction, history)
+    if visible is not None:
+        other = F.when(F.col("from_id") == record_id, F.col("to_id")).otherwise(F.col("from_id"))
+        out = out.withColumn("__other", other).join(visible.toDF("__other"), "__other", "left_semi").drop("__other")
+    return page(out, [Sort("active_from", True)], limit, None if cursor is None else ([cursor[0]], cursor[1]))
 
 
 def neighbours(links: DataFrame, ids: DataFrame) -> DataFrame:

@@ -77,3 +77,29 @@ def options_in_use(records: DataFrame, attribute: str, multi: bool = False) -> D
 def archive_preview(records: DataFrame, type_col: str = "object_type") -> DataFrame:
     """(object_type, records) that archiving a type would hide."""
     return records.groupBy(type_col).agg(F.count(F.lit(1)).alias("records"))
+
+
+def files_page(files: DataFrame, limit: int = 50, cursor: tuple | None = None, **equal) -> DataFrame:
+    """Files of a target, record or event, newest first."""
+    return page(_equal(files, equal), [Sort("created_at", True)], limit, None if cursor is None else ([cursor[0]], cursor[1]))
+
+
+def suppressions_page(entries: DataFrame, limit: int = 50, cursor: tuple | None = None, **equal) -> DataFrame:
+    """Suppressions by kind, channel or reason, oldest first."""
+    return page(_equal(entries, equal), [Sort("created_at")], limit, None if cursor is None else ([cursor[0]], cursor[1]))
+
+
+def proposals_page(proposals: DataFrame, limit: int = 50, cursor: tuple | None = None, **equal) -> DataFrame:
+    """Proposals by status, kind, record or source, oldest first."""
+    return page(_equal(proposals, equal), [Sort("created_at")], limit, None if cursor is None else ([cursor[0]], cursor[1]))
+
+
+def webhooks(subscriptions: DataFrame, team: str, enabled: bool | None = None) -> DataFrame:
+    own = subscriptions.filter(F.col("team_id") == team)
+    return own if enabled is None else own.filter(F.col("enabled") == enabled)
+
+
+def _equal(df: DataFrame, equal: dict) -> DataFrame:
+    for column, value in equal.items():
+        df = df.filter(F.col(column) == value)
+    return df

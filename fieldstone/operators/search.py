@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldstone.catalog import SpecError
 from fieldstone.functions.text import term_rank, tokens, utf8_truncate
 from fieldstone.functions.vectors import cosine
 
@@ -46,3 +47,35 @@ def fuse(first: DataFrame, second: DataFrame, limit: int | None = None, depth: i
     part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
     out = both.select("record_id", (part("a") + part("b")).alias("score"), F.when(F.col("b").isNull(), "keyword").when(F.col("a").isNull(), "semantic").otherwise("both").alias("match"))
     return out.orderBy(F.desc("score"), "record_id").limit(limit) if limit else out
+
+
+def check_mode(query: str | None, similar_to: object | None, mode: str | None = None) -> str:
+    """The mode that a search's arguments mean: a query is hybrid unless it says otherwise, similar_to always semantic."""
+    if (query is None) == (similar_to is None):
+        raise SpecError("invalid_search", "either a query or similar_to")
+    if similar_to is not None:
+        if mode == "keyword":
+            raise SpecError("invalid_search", "similar_to has no keyword mode")
+        return "semantic"
+    if mode not in (None, "keyword", "semantic", "hybrid"):
+        raise SpecError("invalid_search", str(mode))
+    return mode or "hybrid"
+
+
+def search_documents(records: DataFrame, attributes: list[str], links: DataFrame | None = None, name_col: str = "name", id_col: str = "id") -> DataFrame:
+    """(record_id, content, tokens): the re-indexed search documents of all records: their attributes in order, then the names of what they
+    link to, by relation, position (null last) and id. Tokens are made once, here, and stored; queries read them."""
+    told = records.select(F.col(id_col).alias("record_id"), F.array(*[F.col(a).cast("string") for a in attributes]).alias("own"))
+    near = F.array().cast("array<string>")
+    if links is not None:
+        names = records.select(F.col(id_col).alias("to_id"), F.col(name_col).alias("__name"))
+        place = F.struct("relation", F.col("position").isNull().alias("last"), "position", "to_id", "__name")
+        of = links.join(names, "to_id").groupBy(F.col("from_id").alias("record_id")).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["__name"]).alias("near"))
+        told, near = told.join(of, "record_id", "left"), F.coalesce("near", near)
+    content = utf8_truncate(F.array_join(F.filter(F.concat("own", near), lambda x: F.coalesce(x, F.lit("")) != ""), " · "), MAX_CONTENT)
+    return told.select("record_id", content.alias("content")).withColumn("tokens", tokens(F.col("content")))
+
+
+def visible_search(hits: DataFrame, records: DataFrame, limit: int = 50, id_col: str = "id") -> DataFrame:
+    """The best hits among the records that the caller sees; these are what record_set() gave, so nothing hidden takes a rank."""
+    return hits.join(records.select(F.col(id_col).alias("record_id")), "record_id", "left_semi").orderBy(F.desc("score"), "record_id").limit(limit)

@@ -196,9 +196,9 @@ def quality_stale(spark, d):
     return data_quality.stale(rows, F.lit("1998-01-01").cast("timestamp"))
 
 
-@query("SELECT c_custkey AS record_id, 'no link' AS detail FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS record_id, 'no link' AS detail FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' AND o.o_orderpriority = '1-URGENT')")
 def quality_orphans(spark, d):
-    return data_quality.orphans(_companies(spark, d), [_company_links(spark, d)])
+    return data_quality.orphans(_companies(spark, d), [_deals(spark, d).filter("status = 'P' and priority = '1-URGENT'").select(F.col("company_id").alias("from_id"))])
 
 
 @query("""WITH v AS (SELECT p_partkey AS record_id, 'name' AS attribute, p_name AS value FROM part UNION ALL SELECT p_partkey, 'price', CAST(CAST(round(p_retailprice, 0) AS BIGINT) AS VARCHAR) FROM part),
@@ -353,34 +353,54 @@ def match_normalized(spark, d):
     return matching.collision_counts(matching.match_keys(_products(spark, d), Rule("name", ("name",))))
 
 
-@query("""WITH v AS (SELECT min(p_partkey) AS id, p_name AS value FROM part GROUP BY p_name),
-  g AS (SELECT DISTINCT id, value, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT id, value, unnest(list_filter(regexp_split_to_array(lower(value), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM v), range(1, 200) r(i) WHERE i <= length(w) + 1),
+# Names of parts, every fifth with a letter more: so some are similar and not equal.
+_NAMED = "named AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name || 's' ELSE p_name END AS p_name FROM part)"
+
+
+def _named(spark, d):
+    return _products(spark, d).select(F.col("id").alias("record_id"), F.when(F.col("id") % 5 == 0, F.concat("name", F.lit("s"))).otherwise(F.col("name")).alias("value"))
+
+
+@query(f"""WITH {_NAMED}, v AS (SELECT min(p_partkey) AS id, p_name AS value FROM named GROUP BY p_name),
+  g AS (SELECT DISTINCT id, value, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT id, value, unnest(list_filter(regexp_split_to_array(lower(value), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS w FROM v), range(1, 200) r(i) WHERE i <= length(w) + 1),
   n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
   SELECT a, b, round(i / (x.n + y.n - i), 6) AS score FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE i / (x.n + y.n - i) >= 0.7""")
 def match_fuzzy(spark, d):
-    return matching.fuzzy_pairs(_products(spark, d).select(F.col("id").alias("record_id"), F.col("name").alias("value")), 0.7).withColumn("score", F.round("score", 6))
+    return matching.fuzzy_pairs(_named(spark, d), 0.7).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH g AS (SELECT DISTINCT value, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT p_name AS value, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM part), range(1, 200) r(i) WHERE i <= length(w) + 1),
+@query(f"""WITH {_NAMED}, g AS (SELECT DISTINCT value, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT p_name AS value, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS w FROM named), range(1, 200) r(i) WHERE i <= length(w) + 1),
   n AS (SELECT value, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.value AS x, b.value AS y, count(*) AS i FROM g a JOIN g b ON a.g = b.g GROUP BY 1, 2),
   s AS (SELECT x, y FROM p JOIN n nx ON nx.value = x JOIN n ny ON ny.value = y WHERE i / (nx.n + ny.n - i) >= 0.7)
-  SELECT r.p_partkey AS record_id, min(o.p_partkey) FILTER (o.p_name = r.p_name) AS representative, count(*) - 1 AS links FROM part r JOIN s ON s.x = r.p_name JOIN part o ON o.p_name = s.y GROUP BY 1""")
+  SELECT r.p_partkey AS record_id, min(o.p_partkey) FILTER (o.p_name = r.p_name) AS representative, count(*) - 1 AS links FROM named r JOIN s ON s.x = r.p_name JOIN named o ON o.p_name = s.y GROUP BY 1""")
 def match_fuzzy_members(spark, d):
-    return matching.fuzzy_members(_products(spark, d).select(F.col("id").alias("record_id"), F.col("name").alias("value")), 0.7)
+    return matching.fuzzy_members(_named(spark, d), 0.7)
+
+
+# Vectors, and of every seventh one two that lie near it.
+_PAIRS = """n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings UNION ALL SELECT 1000000 * k + vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i % (k + 2) = 0 THEN x * 0.5 ELSE x END) FROM embeddings, range(1, 3) t(k) WHERE vec_id % 7 = 0),
+  p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS score FROM n x JOIN n y ON x.vec_id < y.vec_id)"""
+
+
+def _near_vectors(spark, d):
+    own = _vectors(spark, d).select("record_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def near(k):
+        return own.filter("record_id % 7 = 0").select((F.col("record_id") + 1_000_000 * k).alias("record_id"), F.transform("embedding", lambda x, i: F.when((i + 1) % (k + 2) == 0, x * 0.5).otherwise(x)).alias("embedding"))
 
+    return own.unionByName(near(1)).unionByName(near(2))
 
-_PAIRS = "p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS score FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(score, 6) AS score FROM p WHERE score > 0.7")
 def dedup_semantic_pairs(spark, d):
-    return matching.semantic_pairs(_vectors(spark, d), 0.3).withColumn("score", F.round("score", 6))
+    return matching.semantic_pairs(_near_vectors(spark, d), 0.3).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p WHERE score > 0.7), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
   c AS (SELECT a AS r, a AS o FROM e UNION SELECT e.b, c.o FROM c JOIN e ON c.r = e.a) SELECT r AS record_id, min(o) AS component FROM c GROUP BY 1""")
 def dedup_components(spark, d):
-    return matching.components(matching.semantic_pairs(_vectors(spark, d), 0.3))
+    return matching.components(matching.semantic_pairs(_near_vectors(spark, d), 0.3))
 
 
 @query("""SELECT p_partkey AS id, round((p_retailprice + p_size) / nullif(p_size - 10, 0), 6) AS ratio, p_brand || '/' || p_type AS label, p_size >= 25 AS large FROM part""")
