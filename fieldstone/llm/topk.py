@@ -163,7 +163,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     packed = cut(ranged.mapInArrow(pack, _SCHEMA), "topk")
     of_kind = lambda kind: packed.filter(F.col("kind") == kind)
     reach = {r.g: r.longest for r in of_kind("shard").groupBy("g").agg(F.max("longest").alias("longest")).collect()}  # a row for each range
-    first = of_kind("shard").orderBy(F.desc("longest"), "shard").limit(1).select(*_FIELDS).collect()  # one shard
+    # The shards of the longest vectors, as many as make up a full one, whatever the number of partitions.
+    names, many = [], 0
+    for r in of_kind("shard").select("shard", "n", "longest").orderBy(F.desc("longest"), "shard").limit(SHARD).collect():
+        if names and many + r.n > SHARD:
+            break
+        names, many = [*names, r.shard], many + r.n
+    first = of_kind("shard").filter(F.col("shard").isin(names)).select(*_FIELDS).collect()
     longest = spark.sparkContext.broadcast((reach, [r.asDict() for r in first]))
 
     def aim(batches):
