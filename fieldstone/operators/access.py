@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -116,6 +116,94 @@ def record_set(records: DataFrame, grants: DataFrame, rules: DataFrame, bindings
     return attribute_gate(rows, rules, bindings, caller, reads or [], id_col)
 
 
+PEOPLE = ("member", "admin", "owner")
+#: What a new team starts with (resource, action, effect, priority, needs approval, sensitivity, roles).
+DEFAULTS = (
+    ("record", "view", "allow", 0, False, None, PEOPLE),
+    ("record", "create", "allow", 0, False, None, PEOPLE),
+    ("record", "edit", "allow", 0, False, None, PEOPLE),
+    ("record", "link", "allow", 0, False, None, PEOPLE),
+    ("record", "delete", "deny", 0, True, None, ("member",)),
+    ("record", "restore", "deny", 0, True, None, ("member",)),
+    ("record", "delete", "allow", 0, False, None, ("admin", "owner")),
+    ("record", "restore", "allow", 0, False, None, ("admin", "owner")),
+    ("link", "link", "allow", 0, False, None, PEOPLE),
+    ("list", "create", "allow", 0, False, None, PEOPLE),
+    ("list", "edit", "allow", 0, False, None, PEOPLE),
+    ("view", "create", "allow", 0, False, None, PEOPLE),
+    ("schema", "define", "deny", 0, True, None, ("member",)),
+    ("schema", "define", "allow", 0, False, None, ("admin", "owner")),
+    ("merge", "merge", "deny", 0, True, None, ("member",)),
+    ("merge", "merge", "allow", 0, False, None, ("admin", "owner")),
+    ("export", "export", "deny", 0, True, None, ("member",)),
+    ("export", "export", "allow", 0, False, None, ("admin", "owner")),
+    ("webhook", "admin", "deny", 0, False, None, ("member",)),
+    ("webhook", "admin", "allow", 0, True, None, ("admin", "owner")),
+    ("approval", "admin", "allow", 0, False, None, ("admin", "owner")),
+    ("attribute", "view", "deny", 10, False, "restricted", ("member",)),
+    ("attribute", "view", "allow", 10, False, "restricted", ("admin", "owner")),
+    ("attribute", "edit", "deny", 10, False, "confidential", ("member",)),
+    ("attribute", "edit", "allow", 10, False, "confidential", ("admin", "owner")),
+    ("contact_point", "edit", "allow", 0, False, None, PEOPLE),
+    ("record", "erase", "deny", 0, True, None, ("member", "admin")),
+    ("record", "erase", "allow", 0, True, None, ("owner",)),
+    ("suppression", "view", "allow", 0, False, None, PEOPLE),
+    ("suppression", "create", "allow", 0, False, None, PEOPLE),
+    ("suppression", "admin", "deny", 0, False, None, ("member", "admin")),
+    ("suppression", "admin", "allow", 0, True, None, ("owner",)),
+)
+#: What every agent of a trusted app may do.
+AGENT_DEFAULTS = {
+    "record": ("view", "create", "edit", "link", "delete", "restore", "erase"),
+    "link": ("view", "link"),
+    "list": ("view", "create", "edit"),
+    "view": ("view", "create", "edit"),
+    "schema": ("view", "define"),
+    "attribute": ("view", "edit"),
+    "contact_point": ("edit",),
+    "merge": ("merge",),
+    "export": ("export",),
+    "webhook": ("admin",),
+    "suppression": ("view", "create", "admin"),
+    "approval": ("admin",),
+}
+#: What people may do where no rule of theirs speaks.
+OPEN_ACTIONS = ("view", "create", "edit", "link")
+
+
+def default_policies(spark: SparkSession, organization: str, team: str, apps: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rules, bindings) of a new team: of its roles, and of all agents of the apps named."""
+    own = [(*d[:6], [("role", r) for r in d[6]]) for d in DEFAULTS]
+    own += [(kind, action, "allow", 0, False, None, [("agent", f"agent:{app}:*")]) for app in apps for kind, actions in AGENT_DEFAULTS.items() for action in actions]
+    rules = [(f"default-{i}", organization, team, kind, action, "team", team, effect, priority, held, condition) for i, (kind, action, effect, priority, held, condition, _) in enumerate(own)]
+    bindings = [(f"default-{i}", *b) for i, d in enumerate(own) for b in d[6]]
+    return (
+        spark.createDataFrame(rules, "rule_id string, organization_id string, team_id string, resource_type string, action string, scope string, scope_id string, effect string, priority int, requires_approval boolean, condition string"),
+        spark.createDataFrame(bindings, "rule_id string, actor_type string, actor_id string"),
+    )
+
+
+def evaluate(requests: DataFrame, rules: DataFrame, bindings: DataFrame) -> DataFrame:
+    """requests (actor_type, actor_id, resource_type, action, sensitivity, ...) of one team with `outcome`: allow, approval or deny, by the
+    team's rules that are bound to the actor. A plain deny is final, then one with approval asks for it; else the highest priority's
+    allow decides, and of two alike the one with approval. Where no rule speaks, people may do what OPEN_ACTIONS names, agents nothing.
+    Rules are a few per team and are folded before they meet the requests."""
+    key = ["actor_type", "actor_id", "resource_type", "action"]
+    bound = rules.filter("scope = 'team'").join(bindings, "rule_id")
+    folds = bound.groupBy(*key, "condition").agg(
+        F.bool_or((F.col("effect") == "deny") & ~F.col("requires_approval")).alias("denied"), F.bool_or((F.col("effect") == "deny") & F.col("requires_approval")).alias("asked"),
+        F.max(F.when(F.col("effect") == "allow", F.struct("priority", "requires_approval"))).alias("best"),
+    )
+    general, special = folds.filter("condition is null").drop("condition"), folds.filter("condition is not null").withColumnRenamed("condition", "sensitivity")
+    renamed = lambda d, p, on: d.select(*on, *[F.col(c).alias(f"__{p}_{c}") for c in ("denied", "asked", "best")], F.lit(True).alias(f"__{p}"))
+    out = requests.join(F.broadcast(renamed(general, "g", key)), key, "left").join(F.broadcast(renamed(special, "s", [*key, "sensitivity"])), [*key, "sensitivity"], "left")
+    either = lambda c: F.coalesce(F.col(f"__g_{c}"), F.lit(False)) | F.coalesce(F.col(f"__s_{c}"), F.lit(False))
+    best = F.greatest("__g_best", "__s_best")
+    silent = F.when((F.col("actor_type") != "agent") & F.col("action").isin(*OPEN_ACTIONS), "allow").otherwise("deny")
+    outcome = F.when(either("denied"), "deny").when(either("asked"), "approval").when(best.isNotNull(), F.when(best["requires_approval"], "approval").otherwise("allow")).otherwise(silent)
+    return out.withColumn("outcome", outcome).select(*requests.columns, "outcome")
+
+
 def redact(df: DataFrame, sensitivity: dict[str, str], allowed: set[str]) -> DataFrame:
     """Null for attributes of a sensitivity that isn't allowed, whose names are listed in redacted_attributes."""
     hidden = sorted(c for c, s in sensitivity.items() if s not in allowed)

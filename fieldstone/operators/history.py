@@ -112,6 +112,12 @@ def last_activity(records: DataFrame, activities: DataFrame, id_col: str = "id")
     return joined.withColumn("last_activity_at", F.greatest("last_activity_at", "__newest")).drop("__newest")
 
 
+def last_set(changes: DataFrame) -> DataFrame:
+    """(record_id, slug, occurred_at, seq) of each attribute's last `set`; the highest seq decides, not the latest time."""
+    of = changes.filter("kind = 'set'").groupBy("record_id", "slug")
+    return of.agg(F.max_by("occurred_at", "seq").alias("occurred_at"), F.max("seq").alias("seq"))
+
+
 def event_name(kind: Column) -> Column:
     """The feed's name of a kind of change."""
     out = F.lit(None).cast("string")

@@ -7,15 +7,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldstone.catalog import ObjectType
+from fieldstone.catalog import ObjectType, SpecError
+from fieldstone.functions.text import normalize_text, ordered_union
 
+#: Members of a dynamic list, at most.
 MAX_MEMBERS = 10_000
 
 
-def validate(rows: DataFrame, of: ObjectType) -> DataFrame:
-    """rows with `issues`: names of required attributes that are missing and of values that lost their type, sorted."""
-    found = [F.when(F.col(a.slug).isNull(), F.lit(f"{a.slug}: required")) for a in of.attributes if a.required and a.type != "record_reference"]
-    return rows.withColumn("issues", F.array_sort(F.array_compact(F.array(*found)).cast("array<string>")))
+def validate(rows: DataFrame, of: ObjectType, data: str | None = None) -> DataFrame:
+    """rows with `issues`, sorted: required attributes that are missing and, where `data` names the JSON column that the typed columns were
+    taken from, values that didn't fit their type and names that the type doesn't have or has archived."""
+    active = [a for a in of.attributes if not a.archived and a.type != "record_reference"]
+    found = []
+    for a in active:
+        there = F.get_json_object(F.col(data), f"$.{a.slug}").isNotNull() if data else F.lit(False)
+        missing = F.lit(f"{a.slug}: required") if a.required else F.lit(None)
+        found.append(F.when(F.col(a.slug).isNull(), F.when(there, f"{a.slug}: type").otherwise(missing)))
+    issues = F.array_compact(F.array(*found)).cast("array<string>")
+    if data:
+        known = [a.slug for a in of.attributes if not a.archived]
+        names = F.coalesce(F.json_object_keys(F.col(data)), F.array().cast("array<string>"))
+        issues = F.concat(issues, F.transform(F.filter(names, lambda x: ~x.isin(*known)), lambda x: F.concat(x, F.lit(": unknown"))))
+    return rows.withColumn("issues", F.array_sort(issues))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, columns: list[str], id_col: str = "id") -> DataFrame:
@@ -90,11 +103,51 @@ def merged_visibility(records: DataFrame, merges: DataFrame, id_col: str = "id")
     return every.join(records, records[id_col] == F.col("__m")).groupBy("survivor_id").agg(F.min_by("visibility", ranks[F.col("visibility")]).alias("visibility"))
 
 
-def list_members(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """(record_id, position) of a dynamic list: all rows of its query in order, counted from 0. A global order is what a list is; ranges sort in
-    parallel and each adds the sizes of those before it."""
+def merge_multi(records: DataFrame, merges: DataFrame, column: str, form=normalize_text, choices: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """(survivor_id, column): a multi-valued attribute's values after a merge: those of the record that choices (survivor_id, record_id) names,
+    else the survivor's and then its losers' by id, each normal form once. A merge has few losers."""
+    every = merges.select("survivor_id", F.col("loser_id").alias("__m")).union(merges.select("survivor_id", "survivor_id")).distinct()
+    values = every.join(records.select(F.col(id_col).alias("__m"), F.col(column).alias("__v")), "__m")
+    ranked = F.array_sort(F.collect_list(F.struct((F.col("__m") != F.col("survivor_id")).alias("loser"), F.col("__m").alias("m"), F.col("__v").alias("v"))))
+    out = values.groupBy("survivor_id").agg(ranked.alias("__all")).select("survivor_id", ordered_union(F.col("__all.v"), form).alias(column))
+    if choices is None:
+        return out
+    picked = choices.select("survivor_id", F.col("record_id").alias("__m"), F.lit(True).alias("__chosen")).join(values.select("survivor_id", "__m", "__v"), ["survivor_id", "__m"], "left")
+    return out.join(picked, "survivor_id", "left").select("survivor_id", F.when(F.col("__chosen"), F.col("__v")).otherwise(F.col(column)).alias(column))
+
+
+def merged_grants(records: DataFrame, grants: DataFrame, merges: DataFrame, id_col: str = "id") -> DataFrame:
+    """(record_id, user_id): grants of survivors after a merge: all that any of the merged had and, where the merged record is for named
+    users, those for whom the merged ones were created."""
+    every = merges.select("survivor_id", F.col("loser_id").alias("__m")).union(merges.select("survivor_id", "survivor_id")).distinct()
+    had = every.join(grants.select(F.col("record_id").alias("__m"), "user_id"), "__m").select("survivor_id", "user_id")
+    named = merged_visibility(records, merges, id_col).filter("visibility = 'users'")
+    creators = every.join(named, "survivor_id", "left_semi").join(records.select(F.col(id_col).alias("__m"), F.col("created_on_behalf_of").alias("user_id")), "__m").select("survivor_id", "user_id")
+    return had.union(creators.filter("user_id is not null")).distinct().select(F.col("survivor_id").alias("record_id"), "user_id")
+
+
+def apply_merges(records: DataFrame, merges: DataFrame, now: Column, id_col: str = "id") -> DataFrame:
+    """records after merges: losers point to their survivor and are deleted, what pointed to a loser points to the survivor, and the versions
+    of survivors and losers grow. A loser has one survivor."""
+    to = merges.select(F.col("loser_id").alias("__l"), F.col("survivor_id").alias("__s"))
+    survivors = merges.select(F.col("survivor_id").alias("__keeps")).distinct()
+    out = records.join(to, records[id_col] == F.col("__l"), "left").join(survivors, records[id_col] == F.col("__keeps"), "left")
+    out = out.join(to.select(F.col("__l").alias("__via"), F.col("__s").alias("__then")), F.col("merged_into_id") == F.col("__via"), "left")
+    lost = F.col("__l").isNotNull()
+    new = {
+        "merged_into_id": F.coalesce("__s", "__then", "merged_into_id"), "deleted_at": F.when(lost, now).otherwise(F.col("deleted_at")),
+        "version": F.col("version") + (lost | F.col("__keeps").isNotNull()).cast("int"),
+    }
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in records.columns])
+
+
+def list_members(rows: DataFrame, order: list[Column], most: int | None = MAX_MEMBERS) -> DataFrame:
+    """(record_id, position) of a dynamic list: all rows of its query in order, counted from 0; an error if there are more than `most`. A
+    global order is what a list is; ranges sort in parallel and each adds the sizes of those before it."""
     ordered = rows.orderBy(*order).select(F.col("id").alias("record_id")).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
     ordered = ordered.checkpoint()
+    if most is not None and ordered.count() > most:
+        raise SpecError("list_limit", f"more than {most} members")
     sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__base"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ordered.join(F.broadcast(before), "__part").select("record_id", (F.col("__before") + F.col("__at") - F.col("__base")).alias("position"))

@@ -24,6 +24,13 @@ def current(history: DataFrame, amount: Column | None = None) -> DataFrame:
     return open_.agg(F.count(F.lit(1)).alias("records"), *([F.sum(amount).alias("amount")] if amount is not None else []))
 
 
+def fixed_amount(amount: Column, currency: Column, fixed: str) -> Column:
+    """A stored amount, text of a plain decimal, in the attribute's one currency; null if there is none. An amount that is there but isn't
+    that stops the report."""
+    sound = amount.rlike(r"^-?\d+(\.\d+)?$") & (currency == fixed)
+    return F.when(amount.isNull() & currency.isNull(), None).when(sound, amount.try_cast("decimal(38,4)")).otherwise(F.raise_error(F.lit("invalid_amount")).cast("decimal(38,4)"))
+
+
 def durations(history: DataFrame) -> DataFrame:
     """(stage, average_days): closed intervals by stage."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

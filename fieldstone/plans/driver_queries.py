@@ -522,7 +522,7 @@ def proposals_window(spark, d):
 @query("SELECT o_orderkey AS record_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders WHERE o_orderstatus = 'P'")
 def dynamic_list(spark, d):
     rows = apply_filter(_deals(spark, d), {"attribute": "status", "op": "eq", "value": "P"}, DEAL)
-    return mutation.list_members(rows, [F.col("close_date"), F.col("id")])
+    return mutation.list_members(rows, [F.col("close_date"), F.col("id")], most=None)
 
 
 @query("SELECT o_orderkey AS id, round(o_totalprice, 2) AS amount FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 51")

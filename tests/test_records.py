@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldstone.catalog import Attribute, Catalog, ObjectType, Relation, Rule, SpecError, typed_projection
 from fieldstone.functions import text
-from fieldstone.operators import access, compliance, data_quality, derived, history, links, matching, mutation, pipeline, search
-from fieldstone.plans import driver_queries
+from fieldstone.operators import access, activities, compliance, data_quality, derived, history, links, matching, mutation, pipeline, search
+from fieldstone.plans import driver_queries, record_queries, team_queries, views  # noqa: F401  the latter register their queries
 from fieldstone.plans.filters import Sources, apply_filter
 from fieldstone.plans.paging import Sort, after, order, page, seal, unseal
 from fieldstone.sources import exports
@@ -351,6 +351,69 @@ def test_stream_of_changes(spark, tmp_path):
     assert [(r.seq, r.value) for r in rows] == [(2, None)]
 
 
+def test_merges_of_several_values(spark):
+    rows = spark.createDataFrame([(1, ["A", "b"], "team", "u1"), (2, ["a", None, "C"], "users", "u2"), (3, None, "team", None)], "id long, tags array<string>, visibility string, created_on_behalf_of string")
+    merges = spark.createDataFrame([(1, 2), (1, 3)], "survivor_id long, loser_id long")
+    assert mutation.merge_multi(rows, merges, "tags").collect()[0].tags == ["A", "b", "C"]
+    chosen = spark.createDataFrame([(1, 2)], "survivor_id long, record_id long")
+    assert mutation.merge_multi(rows, merges, "tags", choices=chosen).collect()[0].tags == ["a", None, "C"]
+    grants = spark.createDataFrame([(2, "u9"), (3, "u9")], "record_id long, user_id string")
+    assert sorted((r.record_id, r.user_id) for r in mutation.merged_grants(rows, grants, merges).collect()) == [(1, "u1"), (1, "u2"), (1, "u9")]
+    assert mutation.merged_grants(rows.filter("id > 9"), grants.filter("record_id > 9"), merges).collect() == []
+
+
+def test_limits_and_invalid_values(spark):
+    many = spark.createDataFrame([(1, [str(i) for i in range(17)], [str(i) for i in range(16)])], "id long, a array<string>, b array<string>")
+    rule = Rule("r", ("a", "b"))
+    with pytest.raises(Exception, match="too_many_tuples"):
+        matching.match_keys(many, rule, multi=frozenset(("a", "b"))).collect()
+    assert matching.match_keys(many.withColumn("a", F.slice("a", 1, 16)), rule, multi=frozenset(("a", "b"))).count() == 256
+    with pytest.raises(SpecError, match="list_limit"):
+        mutation.list_members(spark.range(3), [F.col("id")], most=2)
+    paid = lambda rows: pipeline.fixed_amount(F.col("a"), F.col("c"), "EUR")
+    good = spark.createDataFrame([("1.50", "EUR"), (None, None)], "a string, c string")
+    assert [None if r[0] is None else float(r[0]) for r in good.select(paid(good)).collect()] == [1.5, None]
+    for a, c in (("1e3", "EUR"), ("1", "USD"), ("x", "EUR"), (None, "EUR"), ("1", None)):
+        bad = spark.createDataFrame([(a, c)], "a string, c string")
+        with pytest.raises(Exception, match="invalid_amount"):
+            bad.select(paid(bad)).collect()
+
+
+def test_policies_of_a_new_team(spark):
+    rules, bindings = access.default_policies(spark, "o", "t", ("app",))
+    ask = [("role", "member", "record", "view"), ("role", "guest", "record", "edit"), ("role", "guest", "record", "merge"), ("agent", "agent:app:*", "record", "erase"), ("agent", "agent:other:*", "record", "view"), (None, None, None, None)]
+    requests = spark.createDataFrame([(i, *a, None) for i, a in enumerate(ask)], "n int, actor_type string, actor_id string, resource_type string, action string, sensitivity string")
+    assert [r.outcome for r in access.evaluate(requests, rules, bindings).orderBy("n").collect()] == ["allow", "allow", "deny", "allow", "deny", "deny"]
+
+
+def test_views_and_lists():
+    catalog = Catalog().with_type(ObjectType("deal", (Attribute("status", "status"), Attribute("data", "json"))))
+    view = views.View("v", "V", "deal", {"attribute": "status", "op": "eq", "value": "P"}, (Sort("status"),), ("status", "status"))
+    saved = views.Saved().save_view(catalog, view)
+    assert saved.view("v").attributes == ("status",) and saved.save_view(catalog, view) is saved and saved.delete_view("v").views == {}
+    for bad in ({"object_type": "none"}, {"attributes": ("none",)}, {"sort": (Sort("data"),)}):
+        with pytest.raises(SpecError):
+            saved.save_view(catalog, views.replace(view, **bad))
+    with pytest.raises(SpecError, match="not_found"):
+        saved.delete_view("w")
+    lists = saved.create_list(catalog, views.ListSpec("s", "S")).create_list(catalog, views.ListSpec("d", "D", "dynamic", "deal", view.filter))
+    assert (lists.lists["d"].evaluation, lists.lists["d"].state, lists.update_list("d", filter=view.filter).lists["d"].evaluation) == (1, "refreshing", 2)
+    assert lists.update_list("s", name="T").lists["s"] == views.ListSpec("s", "T")
+    for wrong in (lambda: lists.update_list("s", filter=view.filter), lambda: lists.create_list(catalog, views.ListSpec("s", "S")), lambda: lists.create_list(catalog, views.ListSpec("x", "X", "dynamic"))):
+        with pytest.raises(SpecError):
+            wrong()
+
+
+def test_activities(spark):
+    columns = "id long, external_ref string, subject string, about array<long>, at timestamp"
+    stored = spark.createDataFrame([(1, "a", "old", None, None), (2, None, "own", None, None)], columns)
+    new = spark.createDataFrame([(3, "a", "new", [7, 7, None], dt.datetime(2024, 1, 2)), (4, "a", None, [], None), (5, None, "x", [8], dt.datetime(2020, 1, 1)), (6, "b", "y", None, None)], columns)
+    assert sorted((r.id, r.external_ref, r.subject) for r in activities.logged(stored, new, ["subject"]).collect()) == [(1, "a", "old"), (2, None, "own"), (5, None, "x"), (6, "b", "y")]
+    assert sorted((r.from_id, r.to_id) for r in activities.about_links(new, "about").collect()) == [(3, 7), (5, 8)]
+    records = spark.createDataFrame([(7, None), (8, dt.datetime(2023, 1, 1)), (9, None)], "id long, last_activity_at timestamp")
+    assert [r.last_activity_at for r in activities.touched(records, new, "at").orderBy("id").collect()] == [dt.datetime(2024, 1, 2), dt.datetime(2023, 1, 1), None]
+
+
 def _plain(v):
     if isinstance(v, float):
         return round(v, 6)
