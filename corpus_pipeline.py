@@ -15,19 +15,23 @@ from fieldstone.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without texts that score 0.7 or more; a null text counts as empty and is judged as such. Columns, repeated rows and null ids stay."""
     return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without texts above their language's threshold; null and empty texts stay, and all do where no text is trusted."""
     return reject_poor(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words a shingle and a similarity of 0.8."""
+    """Five words a shingle and a similarity of 0.8: of each group the smallest id's row stays, of repeated ids the first. Null and empty
+    texts are in no group."""
     return keep_one(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document; a null or empty text is its end id alone. No documents, no rows."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -36,3 +36,35 @@ def test_stages_in_order(spark, tmp_path):
     assert sorted(left["near_duplicates"]) == sorted({before[g][0] for g in groups})
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(left["near_duplicates"])
+
+
+DOCS, LABELS = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int"
+
+
+def _put(spark, folder, docs, labels):
+    spark.createDataFrame(docs, DOCS).repartition(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{folder}/labels.parquet")
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids: nothing is rejected without labels, and one of each group stays."""
+    long = " ".join(f"w{i % 7919}x{i}" for i in range(60_000))
+    rows = [
+        (None, None, None, None, None), (None, None, None, None, None), (1, "", "en", "s", 0), (2, None, None, "s", None), (3, long, "en", None, 9), (4, long + " end", None, "s", 9),
+        (5, "one two three four five six", "en", "s", 5), (5, "one two three four five six", "en", "s", 5), (None, "one two three four five six", None, None, 5), (6, "alone", "de", "s", 5), (7, "alone", "de", "s", 5),
+    ]
+    _put(spark, tmp_path, rows, [(None, None, None)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, str(tmp_path)), name)
+    left = sorted(((r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in docs.collect()))
+    assert left == [(False, 1, 0), (False, 2, 0), (False, 3, len(long)), (False, 5, 27), (False, 6, 5), (True, 0, 0), (True, 0, 0)]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = {r.doc_id: r.doc_tokens for r in pieces}
+    assert set(whole) == {None, 1, 2, 3, 5, 6} and all(sum(r.length for r in pieces if r.doc_id == i) == n for i, n in whole.items() if i is not None)
+    assert [r.doc_tokens for r in pieces if r.doc_id is None] == [1, 1]
+
+
+def test_empty_tables(spark, tmp_path):
+    _put(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
