@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 from .library_pieces import LibraryPieces, ids_of, special_tokens
 from .pretokens import tokenizers_classes
 
@@ -82,23 +83,37 @@ class Packer:
     def _window(self, tier: int, parts: list[tuple]) -> Iterator[tuple]:
         sequence = self.shard << 40 | self.sequences
         self.sequences += 1
-        nth = self.by_tier[tier] = self.by_tier.get(tier, 0) + 1
-        step = self.shard << 40 | tier << 24 | (nth - 1) // max(1, STEP_TOKENS // tier)
+        nth = self.by_tier.get(tier, 0)
+        self.by_tier[tier] = nth + 1
         at = 0
         for doc, start, ids, n in parts:
-            yield doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, sequence, at, tier, step
+            yield doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, sequence, at, tier, nth
             at += len(ids)
 
 
-COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "nth")
+
+
+def balance_steps(pieces: DataFrame) -> DataFrame:
+    """pieces with step_group in place of nth, a window's number within its shard and tier: the windows of a tier are numbered over all
+    shards and dealt to steps of STEP_TOKENS each, so that only the last step of a tier holds fewer. The shards' counts, one row for a
+    shard and tier, are written before they are joined: the planner broadcasts them if that table is small, else it sorts both sides."""
+    shard = F.shiftright("sequence_id", 40)
+    counts = pieces.filter("offset = 0").groupBy(shard.alias("shard"), F.col("tier").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("of").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut(counts.select("shard", "of", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "steps")
+    numbered = pieces.join(before, (shard == F.col("shard")) & (F.col("tier") == F.col("of")))
+    step = F.expr(f"shiftleft(cast(tier as bigint), 40) + (before + nth) div greatest(1, {STEP_TOKENS} div tier)")
+    return numbered.select(*[c for c in pieces.columns if c != "nth"], step.alias("step_group"))
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end: int = 0) -> DataFrame:
-    """Packs all documents into windows of the tiers' lengths, each partition by itself, without a shuffle.
+    """Packs all documents into windows of the tiers' lengths, each partition by itself, without a shuffle of texts or ids. The pieces are
+    written to the shared folder, so that their steps can be balanced over all partitions without packing twice.
 
     A document is its text's ids by the library's file at `path` (null text: none), then the id `end`; so even an empty text has one id.
     Returns a row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the window's length) and
-    step_group (windows of a tier that make up one step of equal tokens). Only a partition's tail goes to windows shorter than the
+    step_group (windows of a tier that make up one step of equal tokens; of each tier only the last step may hold fewer). Only a partition's tail goes to windows shorter than the
     shortest tier, each again a power of two. Repeated rows are packed each for itself; an empty table gives no rows."""
     classes = tokenizers_classes()
 
@@ -123,5 +138,5 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(docs.schema[id_col].dataType)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, nth long"
+    return balance_steps(cut(docs.select(id_col, text_col).mapInArrow(run, schema), "pieces"))

@@ -93,6 +93,20 @@ def test_packing_covers_every_id_once_without_gaps(odd, none):
     assert packing.pack_documents(none, BYTE).count() == 0
 
 
+def test_packing_balances_steps_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STEP_TOKENS", 2048)
+    docs = spark.createDataFrame([(i, "some words " * (i * 37 % 400)) for i in range(120)], "doc_id long, text string").repartition(5)
+    steps, shards = {}, {}
+    for r in packing.pack_documents(docs, BYTE).collect():
+        steps.setdefault((r.tier, r.step_group), []).append(r.length)
+        shards.setdefault((r.tier, r.step_group), set()).add(r.sequence_id >> 40)
+    for tier in {t for t, _ in steps}:
+        groups = sorted(g for t, g in steps if t == tier)
+        assert [g & (1 << 40) - 1 for g in groups] == list(range(len(groups))) and {g >> 40 for g in groups} == {tier}
+        assert [sum(steps[tier, g]) for g in groups[:-1]] == [2048] * (len(groups) - 1) and 0 < sum(steps[tier, groups[-1]]) <= 2048
+    assert len(steps) > 5 and any(len(s) > 1 for s in shards.values())
+
+
 def test_media_round_trip_equal_texts_and_retries(spark, odd, none, monkeypatch):
     stored = media.media_column(odd)
     got = rows(media.media_features(stored))
