@@ -77,7 +77,9 @@ class LibraryPieces(Pieces):
         self.encode = encoder(path)
 
     def of(self, pieces: list[str]) -> list:
-        wanted = set(pieces).difference(self)
+        out = list(map(self.get, pieces))
+        missed = [i for i, value in enumerate(out) if value is None]
+        wanted = {pieces[i] for i in missed}
         for source in (self.known, self.old):
             if source and wanted:
                 found = {p: source[p] for p in wanted if p in source}
@@ -87,7 +89,8 @@ class LibraryPieces(Pieces):
             wanted = list(wanted)
             for p, ids in zip(wanted, self.encode(wanted), strict=True):
                 self[p] = self.value(ids)
-        out = list(map(self.__getitem__, pieces))
+        for i in missed:
+            out[i] = self[pieces[i]]
         self.trim()
         return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,7 +120,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         packer = Packer(tiers, TaskContext.get().partitionId())
-        pieces = LibraryPieces(path, lambda ids: np.array(ids, np.uint32).tobytes())
+        pieces = LibraryPieces(path, lambda ids: array("I", ids).tobytes())
         specials = special_tokens(pieces.tokenizer)
         types = [kind, *[pa.int64()] * 5, pa.int64(), pa.int32(), pa.int64()]
 
