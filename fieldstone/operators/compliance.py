@@ -51,6 +51,16 @@ def contact_points(records: DataFrame, states: DataFrame, column: str, id_col: s
     return out.select("record_id", "value", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.coalesce("archived", F.lit(False)).alias("archived"))
 
 
+def set_points(states: DataFrame, before: DataFrame, after: DataFrame, now: Column) -> DataFrame:
+    """states (record_id, value_hash, value, confirmed, archived_at) after records' values (record_id, value) went from before to after: new
+    values get a state or have theirs revived, with its confirmation kept; values that went are archived, once; others stay as they are."""
+    held = lambda values, name: values.filter(F.col("value").isNotNull()).select("record_id", F.sha2("value", 256).alias("value_hash"), "value").groupBy("record_id", "value_hash").agg(F.min("value").alias(name))
+    changed = held(before, "__was").join(held(after, "__is"), ["record_id", "value_hash"], "full_outer").filter(F.col("__was").isNull() != F.col("__is").isNull())
+    out = states.join(changed, ["record_id", "value_hash"], "full_outer").filter(F.col("value").isNotNull() | F.col("__is").isNotNull())
+    ended = F.when(F.col("__is").isNotNull(), None).when(F.col("__was").isNotNull(), F.coalesce("archived_at", now)).otherwise(F.col("archived_at"))
+    return out.select("record_id", "value_hash", F.coalesce("value", "__is").alias("value"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), ended.alias("archived_at"))
+
+
 def intake(submissions: DataFrame, records: DataFrame, keys: list[str], columns: list[str], id_col: str = "id") -> DataFrame:
     """(submission_id, record_id, candidates, fills, amendments): what pairing each submission with the only record that shares a key would do;
     a null stored value is filled, another one an amendment. Without one record, or with several, record_id is null."""

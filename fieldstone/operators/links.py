@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldstone.catalog import SpecError
 from fieldstone.plans.paging import Sort, page
 
 
@@ -71,14 +70,17 @@ def apply_links(links: DataFrame, commands: DataFrame, cardinality: str, now: Co
     return out.unionByName(new.select(*[c for c in new.columns if c in links.columns]), allowMissingColumns=True), refused
 
 
-def cascade_closure(start: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
-    """Ids that deleting the start deletes: again and again the sources of active cascading links into the set. Only the newly found are
-    joined; each round's set is checkpointed, so a lost executor doesn't replay them all."""
-    edges = links.filter(active_at()).select("from_id", "to_id").distinct()
-    found = frontier = start.toDF("id").distinct()
-    for _ in range(rounds):
+def cascade_closure(start: DataFrame, links: DataFrame) -> DataFrame:
+    """Ids that deleting the start deletes: again and again the sources of active cascading links into the set, however long the chain. Only
+    the newly found are joined; each round's set is checkpointed, so a lost executor doesn't replay them all, and what rounds found is
+    laid together now and then, so that a long chain doesn't make a plan of as many parts."""
+    edges = links.filter(active_at() & F.col("from_id").isNotNull()).select("from_id", "to_id").distinct().checkpoint()
+    found = frontier = start.toDF("id").distinct().checkpoint()
+    rounds = 0
+    while not frontier.isEmpty():
         frontier = edges.join(frontier, edges["to_id"] == frontier["id"]).select(F.col("from_id").alias("id")).distinct().join(found, "id", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return found
         found = found.union(frontier)
-    raise SpecError("closure_limit", f"longer than {rounds} links")
+        rounds += 1
+        if rounds % 16 == 0:
+            found = found.repartition("id").checkpoint()
+    return found

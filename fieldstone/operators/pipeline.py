@@ -45,6 +45,8 @@ def conversions(history: DataFrame, since: Column | None = None, tie: str = "cre
 
 
 def funnel(history: DataFrame, stages: DataFrame, amount: Column | None = None) -> DataFrame:
-    """Every active stage (stage, position) with its open records (0 where none), amount and average days."""
-    out = stages.join(current(history, amount), "stage", "left").join(durations(history), "stage", "left")
+    """Every active stage (stage, position) with its open records (0 where none), amount and average days. Where stages say that they are
+    archived, those are left out."""
+    active = stages.filter(~F.coalesce("archived", F.lit(False))).drop("archived") if "archived" in stages.columns else stages
+    out = active.join(current(history, amount), "stage", "left").join(durations(history), "stage", "left")
     return out.fillna(0, ["records"]).orderBy("position", "stage")

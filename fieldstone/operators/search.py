@@ -76,6 +76,25 @@ def search_documents(records: DataFrame, attributes: list[str], links: DataFrame
     return told.select("record_id", content.alias("content")).withColumn("tokens", tokens(F.col("content")))
 
 
+def reindexed(fresh: DataFrame, stored: DataFrame) -> DataFrame:
+    """fresh search documents (record_id, content, tokens) with the embedding that is stored (record_id, content, embedding) for the same
+    content; null where it has to be made. Records that fresh lacks lose their documents."""
+    old = stored.select("record_id", F.col("content").alias("__content"), "embedding")
+    kept = F.when(F.col("__content").eqNullSafe(F.col("content")), F.col("embedding"))
+    return fresh.join(old, "record_id", "left").select(*[F.col(c) for c in fresh.columns if c != "embedding"], kept.alias("embedding"))
+
+
+def store_embeddings(documents: DataFrame, made: DataFrame, width: int) -> DataFrame:
+    """documents with the embeddings made (record_id, content, embedding) for them, each only if its document still has the content that it
+    was made for. One of another width, or with a value that isn't finite, stops the job."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    sound = (F.size("embedding") == width) & F.forall("embedding", finite)
+    checked = F.when(F.coalesce(sound, F.lit(False)), F.col("embedding")).otherwise(F.raise_error(F.lit("embedding_width")).cast(made.schema["embedding"].dataType))
+    new = made.select("record_id", "content", checked.alias("__new"))
+    out = documents.join(new, ["record_id", "content"], "left")
+    return out.select(*[F.coalesce("__new", "embedding").alias("embedding") if c == "embedding" else F.col(c) for c in documents.columns])
+
+
 def visible_search(hits: DataFrame, records: DataFrame, limit: int = 50, id_col: str = "id") -> DataFrame:
     """The best hits among the records that the caller sees; these are what record_set() gave, so nothing hidden takes a rank."""
     return hits.join(records.select(F.col(id_col).alias("record_id")), "record_id", "left_semi").orderBy(F.desc("score"), "record_id").limit(limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldstone.catalog import Attribute, Catalog, ObjectType, typed_projection
-from fieldstone.operators import access, activities, history, mutation, pipeline
+from fieldstone.operators import access, activities, compliance, history, links, mutation, pipeline, search
 from fieldstone.plans import views
 from fieldstone.plans.paging import Sort
 
@@ -125,3 +125,45 @@ def view_saved(spark, d):
     catalog = Catalog().with_type(_DEAL)
     view = views.View("open", "Open deals", "deal", {"attribute": "status", "op": "eq", "value": "P"}, (Sort("priority"),), ("priority", "priority"))
     return views.run_view(_deals(spark, d), views.Saved().save_view(catalog, view).view("open"), _DEAL)
+
+
+# Customers hang on the customer of a third of their number; the links of every tenth have ended.
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS f, c_custkey // 3 AS t FROM customer WHERE c_custkey % 10 <> 0), d AS (SELECT 5::BIGINT AS id UNION SELECT f FROM e JOIN d ON t = id) SELECT id FROM d""")
+def delete_closure(spark, d):
+    edges = _companies(spark, d).select(F.col("id").cast("long").alias("from_id"), F.expr("cast(id div 3 as bigint)").alias("to_id"), F.expr("if(id % 10 = 0, timestamp'2024-01-01', null)").alias("active_until"))
+    return links.cascade_closure(spark.range(5, 6), edges)
+
+
+# Every third customer's segment changed since its vector was made, every seventh is new.
+@query("""SELECT c_custkey AS record_id, c_name || ' · ' || c_mktsegment AS content, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 7 <> 0 THEN c_nationkey WHEN c_custkey % 2 = 0 THEN c_nationkey + 100 END AS first FROM customer""")
+def search_reindex(spark, d):
+    rows = _companies(spark, d)
+    fresh = search.search_documents(rows, ["name", "segment"])
+    old = rows.withColumn("segment", F.expr("if(id % 3 = 0, 'OTHER', segment)")).filter("id % 7 <> 0")
+    stored = search.search_documents(old, ["name", "segment"]).join(rows.select(F.col("id").alias("record_id"), F.array(F.col("nation").cast("double"), F.lit(1.0)).alias("embedding")), "record_id")
+    kept = search.reindexed(fresh, stored)
+    # Vectors for all that lack one; those of odd ids were made for a text that has changed again.
+    wanted = kept.filter("embedding is null").join(rows.select(F.col("id").alias("record_id"), "nation"), "record_id")
+    made = wanted.select("record_id", F.expr("if(record_id % 2 = 1, 'older', content)").alias("content"), F.array(F.col("nation") + F.lit(100.0), F.lit(0.0)).alias("embedding"))
+    return search.store_embeddings(kept, made, 2).select("record_id", "content", F.col("embedding")[0].cast("int").alias("first"))
+
+
+# Customers had two values; those of every fourth lose the first, every third gains one, every fifth had archived that one before.
+@query("""WITH v AS (SELECT c_custkey AS record_id, unnest(['a' || c_custkey, 'b' || c_nationkey, 'n' || c_custkey]) AS value, unnest([1, 2, 3]) AS k FROM customer)
+  SELECT record_id, value, k = 3 AND record_id % 5 = 0 AS confirmed, CASE k WHEN 1 THEN record_id % 4 = 0 WHEN 3 THEN record_id % 3 <> 0 ELSE false END AS archived FROM v WHERE k < 3 OR record_id % 3 = 0 OR record_id % 5 = 0""")
+def contact_points_set(spark, d):
+    rows = _companies(spark, d).select(F.col("id").alias("record_id"), F.concat(F.lit("a"), "id").alias("a"), F.concat(F.lit("b"), "nation").alias("b"), F.concat(F.lit("n"), "id").alias("n"))
+    told = lambda *values: rows.select("record_id", F.explode(F.array_compact(F.array(*map(F.expr, values)))).alias("value"))
+    archived = F.lit("2024-01-01").cast("timestamp")
+    states = told("a", "b").withColumns({"confirmed": F.lit(False), "archived_at": F.lit(None).cast("timestamp")}).unionByName(told("if(record_id % 5 = 0, n, null)").withColumns({"confirmed": F.lit(True), "archived_at": archived}))
+    out = compliance.set_points(states.withColumn("value_hash", F.sha2("value", 256)), told("a", "b"), told("if(record_id % 4 = 0, null, a)", "b", "if(record_id % 3 = 0, n, null)"), F.lit("2025-01-01").cast("timestamp"))
+    return out.select("record_id", "value", "confirmed", F.col("archived_at").isNotNull().alias("archived"))
+
+
+@query("""SELECT s.stage, count(h.stage) AS records FROM (SELECT DISTINCT event_type AS stage FROM events WHERE event_type <> 'click' UNION SELECT 'won') s
+  LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS stage FROM events GROUP BY 1) h USING (stage) GROUP BY 1""")
+def pipeline_archived_stages(spark, d):
+    """Zero for a stage without records, nothing for an archived one, though it has some."""
+    moves = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("record_id"), F.col("event_type").alias("stage"), F.col("ts").alias("started_at"))
+    stages = moves.select("stage").distinct().union(spark.createDataFrame([("won",)], "stage string")).select("stage", F.lit(0).alias("position"), (F.col("stage") == "click").alias("archived"))
+    return pipeline.funnel(pipeline.intervals(moves), stages).select("stage", "records")

@@ -139,6 +139,8 @@ def test_links(spark):
     assert edges.filter(links.active_at(F.lit("2024-02-01").cast("timestamp"))).count() == 3
     assert edges.filter(links.active_at(F.lit("2024-01-01").cast("timestamp"))).count() == 3
     assert ids(links.cascade_closure(spark.createDataFrame([(9,)], "id long"), edges)) == [1, 5, 9]
+    chain = spark.range(1, 20).select((F.col("id") + 1).alias("from_id"), F.col("id").alias("to_id"), F.lit(None).cast("timestamp").alias("active_until"))
+    assert ids(links.cascade_closure(spark.createDataFrame([(1,)], "id long"), chain.union(spark.createDataFrame([(1, 20, None)], chain.schema)))) == [*range(1, 21)]
     assert [r.id for r in links.list_links(edges, 6, history=True).collect()] == [3, 2] and [r.id for r in links.list_links(edges, 6).collect()] == [2]
     commands = spark.createDataFrame([("r", 1, 8, T(2024, 3, 1)), ("r", 3, 3, T(2024, 3, 1)), ("r", 5, 9, T(2024, 3, 1))], "relation string, from_id long, to_id long, at timestamp")
     out, refused = links.apply_links(edges, commands, "many_to_one", F.lit("2024-03-02").cast("timestamp"))
@@ -435,3 +437,22 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(names) == columns
     want = sorted((tuple(_plain(r[names.index(c)]) for c in columns) for r in told.fetchall()), key=repr)
     assert sorted((tuple(_plain(r[c]) for c in columns) for r in df.collect()), key=repr) == want
+
+
+def test_reindexed_documents_keep_vectors_of_equal_content(spark):
+    fresh = spark.createDataFrame([(1, "a", ["a"]), (2, "b", ["b"]), (3, None, [])], "record_id long, content string, tokens array<string>")
+    stored = spark.createDataFrame([(1, "a", [1.0]), (2, "old", [2.0]), (3, None, [3.0]), (4, "gone", [4.0])], "record_id long, content string, embedding array<double>")
+    kept = search.reindexed(fresh, stored)
+    assert {r.record_id: r.embedding for r in kept.collect()} == {1: [1.0], 2: None, 3: [3.0]}
+    made = stored.filter("record_id = 2").unionByName(spark.createDataFrame([(1, "a", [9.0])], stored.schema))
+    assert {r.record_id: r.embedding for r in search.store_embeddings(kept, made, 1).collect()} == {1: [9.0], 2: None, 3: [3.0]}
+    for wrong in ([1.0, 2.0], [float("nan")], [float("inf")], [None], None):
+        with pytest.raises(Exception, match="embedding_width"):
+            search.store_embeddings(kept, spark.createDataFrame([(2, "b", wrong)], stored.schema), 1).collect()
+
+
+def test_contact_points_follow_the_values(spark):
+    known = spark.createDataFrame([(1, "a", True, None), (1, "b", False, T(2024, 1, 1)), (1, "c", False, T(2024, 1, 1))], "record_id long, value string, confirmed boolean, archived_at timestamp").withColumn("value_hash", F.sha2("value", 256))
+    told = lambda *v: spark.createDataFrame([(1, x) for x in v], "record_id long, value string")
+    got = compliance.set_points(known, told("a", "c", "x", None), told("b", "d", "d", "x", None), F.lit("2025-01-01").cast("timestamp"))
+    assert {r.value: (r.confirmed, r.archived_at) for r in got.collect()} == {"a": (True, T(2025, 1, 1)), "b": (False, None), "c": (False, T(2024, 1, 1)), "d": (False, None)}
