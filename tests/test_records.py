@@ -456,3 +456,15 @@ def test_contact_points_follow_the_values(spark):
     told = lambda *v: spark.createDataFrame([(1, x) for x in v], "record_id long, value string")
     got = compliance.set_points(known, told("a", "c", "x", None), told("b", "d", "d", "x", None), F.lit("2025-01-01").cast("timestamp"))
     assert {r.value: (r.confirmed, r.archived_at) for r in got.collect()} == {"a": (True, T(2025, 1, 1)), "b": (False, None), "c": (False, T(2024, 1, 1)), "d": (False, None)}
+
+
+def test_unlinked_order_zero_leaves_company_zero_alone(spark, tmp_path):
+    con, d = duckdb.connect(), "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{d}/customer.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * REPLACE (CASE o_orderkey WHEN 0 THEN 'O' ELSE o_orderstatus END AS o_orderstatus, CASE o_orderkey WHEN 0 THEN '1-URGENT' ELSE o_orderpriority END AS o_orderpriority) FROM '{d}/orders.parquet'")
+    for t in ("customer", "orders"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = {r.id: r.version for r in driver_queries.QUERIES["unlink_versions"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(driver_queries.ORACLES["unlink_versions"]).fetchall())
