@@ -436,6 +436,13 @@ def test_licence_paragraphs_near_misses_and_wrapped_notices(spark):
     assert all(any(a in t.lower() for a in licenses.ANCHORS) for ts in licenses.TEMPLATES.values() for t in ts)
 
 
+def test_licence_paragraphs_of_texts_without_an_anchor(spark):
+    cut_off = "free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."
+    assert not any(a in cut_off.lower() for a in licenses.ANCHORS)
+    df = spark.createDataFrame([(1, cut_off), (2, "Rain fell on the hills.\n" + cut_off + "\nWind came."), (3, "Rain fell on the hills.")], "doc_id long, text string")
+    assert {(r.doc_id, r.family, r.paragraph) for r in licenses.scan(df).collect() if r.confirmed} == {(1, "mit", 0), (2, "mit", 1)}
+
+
 def test_licence_scores_and_agreement_against_plain_sums(spark):
     import re
 
