@@ -313,6 +313,18 @@ def test_toxicity_scores_long_texts_whole_and_repeated_ids_once(spark):
     assert (plain[0].tolist(), plain[1].tolist(), plain[2]) == (at.tolist(), values.tolist(), bias)
 
 
+def test_toxicity_sample_comes_to_the_driver_by_partitions(spark, monkeypatch):
+    docs, labels = toxic_table(spark)
+    whole = type(docs).collect
+
+    def collect(df):
+        assert "features" not in df.columns
+        return whole(df)
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    assert len(toxicity.train(docs, labels)[0])
+
+
 def brute_nll(trusted, text):
     """Interpolated modified Kneser-Ney of order 4, as plainly as possible."""
     grams = {}
