@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Places, cut, from_files, ranked, slices, write_by_partition
+from .common import Places, cut, from_files, ranked, slices, tidy, write_by_partition
 
 #: Shingles of a bucket of the hash, about, and of a task's portion of them.
 BUCKET, PORTION = 1 << 20, 1 << 21
@@ -140,6 +140,7 @@ def _spread(texts: DataFrame, size: int, repeats: Places, bits: int) -> DataFram
     """(part, portion, bucket, keys, counts): each portion's distinct shingles by the upper `bits` bits, as 32 further bits in order, and
     how many of the portion's nodes hold them (up to 255). Equal ones of a portion are added up before they are sent."""
 
+    @tidy
     def run(batches):
         part = TaskContext.get().partitionId()
         for portion, sets in _portions(batches, size, _repeats(repeats), part << 40):
@@ -173,6 +174,7 @@ def _reduced(texts: DataFrame, size: int, percent: int, repeats: Places, told: P
     """(node, n, alone, shingles, magnitudes): the reduced set in global order of each node that may link with another, and how many
     shingles it holds alone. A node whose first shingles are all its own links with none."""
 
+    @tidy
     def run(batches):
         part = TaskContext.get().partitionId()
         answers = told.read(part, ["portion", "bucket", "told"])
@@ -220,6 +222,7 @@ def _fits(a_n: Column, a_room: Column, b_n: Column, b_room: Column, percent: int
 def _pivots(reduced: DataFrame) -> list[tuple[int, int]]:
     """Places in the order, as (magnitude, hash), that cut it into fragments of about as many shingles each."""
 
+    @tidy
     def count(batches):
         total = np.zeros(65, np.int64)
         for batch in batches:
@@ -242,6 +245,7 @@ def _pivots(reduced: DataFrame) -> list[tuple[int, int]]:
 def _segments(reduced: DataFrame, needed: DataFrame, pivots: list[tuple[int, int]]) -> DataFrame:
     """(node, fragment, shingles) of the needed nodes, the shingles of a fragment in the order of the hash as signed numbers."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             node, fragment, parts = [], [], []
@@ -267,6 +271,7 @@ def _compared(pairs: DataFrame, reduced: DataFrame, pivots: list[tuple[int, int]
     parts = pairs.select("a", "b", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("fragment"))
     both = parts.join(side("a"), ["a", "fragment"]).join(side("b"), ["b", "fragment"]).select("a", "b", "sa", "sb")
 
+    @tidy
     def count(batches):
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
@@ -342,6 +347,7 @@ def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and place in it; check is its text's CRC. The rest is as in jaccard_components."""
     rows = from_files(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "near-texts")
 
+    @tidy
     def nodes(batches):
         at = TaskContext.get().partitionId() << 40
         for part, texts in slices(batches):
@@ -392,6 +398,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     gone = told.join(stays, "component").filter("row <> first.row").select(F.expr("shiftright(row, 40)").alias("part"), "row", "check")
     places = write_by_partition(gone, "near-gone", docs.rdd.getNumPartitions())
 
+    @tidy
     def run(batches):
         part_no = TaskContext.get().partitionId()
         found = places.read(part_no, ["row", "check"])

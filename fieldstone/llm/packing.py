@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, tidy
 from .library_pieces import LibraryPieces, ids_of, special_tokens
 from .pretokens import tokenizers_classes
 
@@ -118,6 +118,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     shortest tier, each again a power of two. Repeated rows are packed each for itself; an empty table gives no rows."""
     classes = tokenizers_classes()
 
+    @tidy
     def run(batches):
         packer = Packer(tiers, TaskContext.get().partitionId())
         pieces = LibraryPieces(path, lambda ids: array("I", ids).tobytes())

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Places, cut, distinct, from_files, ranked, slices, write_by_partition
+from .common import Places, cut, distinct, from_files, ranked, slices, tidy, write_by_partition
 
 ORDER = 4
 #: Distinct n-grams that a task holds before it passes on what it has counted.
@@ -60,6 +60,7 @@ def _by_model(part: pa.RecordBatch, texts: list[str]) -> list[tuple[int, np.ndar
 def _counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(model, key, n) of the texts of docs (text_col, __model)."""
 
+    @tidy
     def run(batches):
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
@@ -140,6 +141,7 @@ def _looked_up(docs: DataFrame, counts: DataFrame, text_col: str) -> Places:
     """Fits the models on `counts` and answers, for each partition of docs, what the 4-grams that it asks of them cost."""
     levels = _levels(counts)
 
+    @tidy
     def asks(batches):
         held: dict[int, np.ndarray] = {}
         new: dict[int, list[np.ndarray]] = {}
@@ -166,6 +168,7 @@ def _scored(docs: DataFrame, answers: Places, text_col: str, keep: list[str]) ->
     """The columns `keep` of docs with __chars and __nll, the sum over a text's characters. docs is read a second time here, and each
     partition has to hold the rows that it held before."""
 
+    @tidy
     def score(batches):
         tables = None
         for part, texts in slices(batches, text_col):

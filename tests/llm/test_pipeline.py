@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
+from fieldstone.llm import common
 from fieldstone.llm.common import cut
 from tests.llm.test_operators import brute_components
 
@@ -68,3 +70,36 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     _put(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_tables_between_stages_send_python_small_batches(spark):
+    """10,000 long texts as one batch were what the JVM held outside its heap, several times over, for each task."""
+    key = common.BATCH[0]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    texts = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 4000) as text")
+    told = texts.mapInArrow(sizes, "n long, size long")
+    got = cut(told, "sizes").collect()
+    assert sum(r.n for r in got) == 9000 and max(r.size for r in got) < 5 << 20
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "8m")
+    try:
+        own = cut(told, "sizes").collect()
+        assert sum(r.n for r in own) == 9000 and 6 << 20 < max(r.size for r in own) < 9 << 20 and spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_memory_is_released_around_each_partition(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "release", lambda: seen.append("released"))
+
+    def run(batches):
+        for b in batches:
+            seen.append(b)
+            yield b
+
+    assert list(common.tidy(run)([1, 2])) == [1, 2] and seen == ["released", 1, 2, "released"]
