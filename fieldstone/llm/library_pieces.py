@@ -12,7 +12,7 @@ from itertools import chain
 import numpy as np
 
 from .bpe import Pieces
-from .pretokens import SPACE, class_table, cut_texts
+from .pretokens import SPACE, bounds, class_table, cut_texts
 
 
 @cache
@@ -26,8 +26,9 @@ def library(path: str):
     return tokenizer
 
 
+@cache
 def encoder(path: str):
-    """A function from pre-tokens to their ids, for many at once."""
+    """A function from pre-tokens to their ids, for many at once; made once a worker."""
     tokenizer = library(path)
     model = json.loads(tokenizer.to_str())["model"]
     vocab, suffix = model["vocab"], model.get("end_of_word_suffix")
@@ -58,7 +59,9 @@ def encoder(path: str):
     import tiktoken
 
     fast = tiktoken.Encoding(path, pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-    return lambda pieces: list(map(fast.encode_ordinary, pieces))
+    # The call beneath encode_ordinary for one pre-token: without looking for the pattern in it.
+    one = fast._core_bpe.encode_single_piece
+    return lambda pieces: [one(p.encode()) for p in pieces]
 
 
 def byte_signs() -> dict[int, str]:
@@ -111,21 +114,127 @@ def special_tokens(tokenizer) -> dict[str, int]:
     return {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
 
-def ids_of(texts: list[str], pieces: LibraryPieces, classes: bytes, specials: dict[str, int]) -> list[np.ndarray]:
+class PieceIds:
+    """Ids of pre-tokens, looked up many at once without a string for each. A pre-token of up to 16 bytes is its own key, two 64-bit words
+    padded with NULs, in an open-addressing hash table of arrays whose values are places in one array of ids. Keys are compared whole. What
+    the table lacks is encoded once. Longer pre-tokens and those that end in NUL, as which padding would pass, go through LibraryPieces."""
+
+    #: Slots of the table, a power of two. It starts anew when 3/8 are taken; bounds its memory, results don't depend on it.
+    SLOTS = 1 << 20
+
+    def __init__(self, path: str):
+        self.long = LibraryPieces(path, lambda ids: array("I", ids).tobytes())
+        self.tokenizer, self.encode = self.long.tokenizer, self.long.encode
+        self.low, self.high = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        #: Place of the first id times 32, plus the number of ids; 0: free.
+        self.value = np.zeros(self.SLOTS, np.uint64)
+        self.ids, self.used, self.taken = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(65 - self.SLOTS.bit_length())).astype(np.intp)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Values of keys, 0 for those that the table lacks."""
+        at = self._home(low, high)
+        out = self.value[at]
+        left = np.arange(len(at))
+        while len(left := left[again := ((self.low[at] != low[left]) | (self.high[at] != high[left])) & (out[left] != 0)]):
+            at = at[again] + 1 & self.SLOTS - 1
+            out[left] = self.value[at]
+        return out
+
+    def _insert(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> None:
+        """New keys, no two of them equal."""
+        at = self._home(low, high)
+        while len(at):
+            free = np.flatnonzero(self.value[at] == 0)
+            self.value[at[free]] = value[free]
+            mine = self.value[at] == value
+            self.low[at[mine]], self.high[at[mine]] = low[mine], high[mine]
+            rest = ~mine
+            low, high, value, at = low[rest], high[rest], value[rest], at[rest] + 1 & self.SLOTS - 1
+
+    def _store(self, ids: np.ndarray, keep: bool) -> int:
+        """Place of ids in the array of ids; what isn't kept is overwritten by the next call."""
+        at, end = self.used, self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate((self.ids[:at], np.zeros(max(end, 2 * len(self.ids)) - at, np.uint32)))
+        self.ids[at:end] = ids
+        self.used = end if keep else at
+        return at
+
+    def of(self, joined: str, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens of a text, end to end, and the number of ids before each, with their sum at the end."""
+        data = joined.encode()
+        a, b = starts, stops
+        if len(data) > len(joined):
+            place = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            a, b = place[starts], place[stops]
+        data += bytes(24 - len(data) % 8)
+        step = self.SLOTS // 4
+        parts = [self._of(joined, data, *(x[i : i + step] for x in (starts, stops, a, b))) for i in range(0, len(starts), step)]
+        ids, n = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        return ids, np.concatenate(([0], np.cumsum(n)))
+
+    def _of(self, joined: str, data: bytes, starts: np.ndarray, stops: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers for at most a quarter as many pre-tokens as there are slots. a, b: starts and stops in bytes."""
+        if self.taken > self.SLOTS // 8 * 3:
+            self.value[:] = 0
+            self.used = self.taken = 0
+        size, words = b - a, np.frombuffer(data, "<u8")
+        low, middle, high = (words[(a >> 3) + i] for i in range(3))
+        down = (a & 7).astype(np.uint64) << np.uint64(3)
+        up = np.uint64(64) - down
+        low, high = low >> down | middle << up, middle >> down | high << up
+        low, high = low & MASKS[np.minimum(size, 8)], high & MASKS[np.clip(size - 8, 0, 8)]
+        long = np.flatnonzero((size > 16) | (np.frombuffer(data, np.uint8)[b - 1] == 0))
+        value = self._find(low, high)
+        value[long] = 1
+        if len(lack := np.flatnonzero(value == 0)):
+            new: dict[str, int] = {}
+            for i, s, e in zip(lack.tolist(), starts[lack].tolist(), stops[lack].tolist(), strict=True):
+                new.setdefault(joined[s:e], i)
+            found = self.encode(list(new))
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+            at = self._store(ids, True) + np.cumsum(n) - n
+            first = np.fromiter(new.values(), np.int64, len(new))
+            self._insert(low[first], high[first], (at << 5 | n).astype(np.uint64))
+            self.taken += len(new)
+            value[lack] = self._find(low[lack], high[lack])
+        value = value.astype(np.int64)
+        n, at = value & 31, value >> 5
+        if len(long):
+            found = self.long.of([joined[s:e] for s, e in zip(starts[long].tolist(), stops[long].tolist(), strict=True)])
+            n[long] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            at[long] = self._store(np.frombuffer(b"".join(found), np.uint32), False) + np.cumsum(n[long]) - n[long]
+        stop = np.cumsum(n)
+        return self.ids[np.arange(stop[-1]) + np.repeat(at - (stop - n), n)], n
+
+
+#: MASKS[n] keeps the first n bytes of a little-endian word.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def ids_of(texts: list[str], pieces: PieceIds, classes: bytes, specials: dict[str, int]) -> list[np.ndarray]:
     """Ids of whole texts for a byte-level vocabulary without a normaliser."""
     flat, owner = [], []
     for i, t in enumerate(texts):
         for part, special in special_parts(t, specials) if any(s in t for s in specials) else [(t, None)]:
             flat.append(part)
             owner.append((i, special))
-    cut, first, _ = cut_texts(flat, classes)
-    found = pieces.of(cut)
-    ids: list[list[bytes]] = [[] for _ in texts]
-    for (i, special), a, b in zip(owner, first[:-1].tolist(), first[1:].tolist(), strict=True):
-        ids[i] += found[a:b]
+    joined, starts, stops, first = bounds(flat, classes)
+    found, before = pieces.of(joined, starts, stops)
+    before = before[first].tolist()
+    ids: list[list[np.ndarray]] = [[] for _ in texts]
+    for (i, special), a, b in zip(owner, before[:-1], before[1:], strict=True):
+        ids[i].append(found[a:b])
         if special is not None:
-            ids[i].append(array("I", [special]).tobytes())
-    return [np.frombuffer(b"".join(x), np.uint32) for x in ids]
+            ids[i].append(np.array([special], np.uint32))
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in ids]
 
 
 @cache

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, tidy
-from .library_pieces import LibraryPieces, ids_of, special_tokens
+from .library_pieces import PieceIds, ids_of, special_tokens
 from .pretokens import tokenizers_classes
 
 #: Window lengths, longest first; all powers of two, so that a full window of any tier needs no padding.
@@ -121,7 +120,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     @tidy
     def run(batches):
         packer = Packer(tiers, TaskContext.get().partitionId())
-        pieces = LibraryPieces(path, lambda ids: array("I", ids).tobytes())
+        pieces = PieceIds(path)
         specials = special_tokens(pieces.tokenizer)
         types = [kind, *[pa.int64()] * 5, pa.int64(), pa.int32(), pa.int64()]
 

@@ -187,12 +187,12 @@ def symbols(points: np.ndarray, classes: np.ndarray, separators: np.ndarray, any
     return out
 
 
-def cut_texts(texts: list[str], packed: bytes, name: str = "joined", any_case: bool = False, spaces: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Pre-tokens of all texts in order; for each text the index of its first pre-token, with one more at the end; and each pre-token's
-    offset in its text, in code points. spaces: whether those that begin with white space count."""
+def bounds(texts: list[str], packed: bytes, name: str = "joined", any_case: bool = False, spaces: bool = True) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined, each with a NUL behind it; where in it, in code points, each pre-token begins and where it stops, in order; and for
+    each text the index of its first pre-token, with one more at the end. spaces: whether those that begin with white space count."""
     joined = "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le" if sys.byteorder == "little" else "utf-32-be"), np.uint32)
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    ends = text_ends(texts)
     classes = class_table(packed)
     starts = machine(name).starts(symbols(points, classes, ends, any_case))
     stops = np.append(starts[1:], len(points))
@@ -201,7 +201,17 @@ def cut_texts(texts: list[str], packed: bytes, name: str = "joined", any_case: b
     if not spaces:
         real &= classes[points[starts]] != SPACE
     starts, stops = starts[real], stops[real]
-    first = np.searchsorted(starts, np.append(np.append(0, ends[:-1] + 1), len(points)))
-    text_at = np.append(0, ends[:-1] + 1)
-    offsets = starts - np.repeat(text_at, np.diff(first))
+    return joined, starts, stops, np.searchsorted(starts, np.append(np.append(0, ends[:-1] + 1), len(points)))
+
+
+def text_ends(texts: list[str]) -> np.ndarray:
+    """Where each text's NUL stands when they are joined."""
+    return np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+
+
+def cut_texts(texts: list[str], packed: bytes, name: str = "joined", any_case: bool = False, spaces: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Pre-tokens of all texts in order; for each text the index of its first pre-token, with one more at the end; and each pre-token's
+    offset in its text, in code points. spaces: whether those that begin with white space count."""
+    joined, starts, stops, first = bounds(texts, packed, name, any_case, spaces)
+    offsets = starts - np.repeat(np.append(0, text_ends(texts)[:-1] + 1), np.diff(first))
     return [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], first, offsets

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldstone.llm import bpe, chat, jaccard, licenses, media, packing, pretokens, quality, token_counts, topk, toxicity
+from fieldstone.llm import bpe, chat, jaccard, library_pieces, licenses, media, packing, pretokens, quality, token_counts, topk, toxicity
 
 WORD, BYTE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, node string"
@@ -107,6 +107,23 @@ def test_packing_balances_steps_over_partitions(spark, monkeypatch):
     assert len(steps) > 5 and any(len(s) > 1 for s in shards.values())
 
 
+@pytest.mark.parametrize("slots", [64, 1 << 12, 1 << 20])
+def test_packing_looks_short_pretokens_up_in_arrays_and_gets_the_librarys_ids(monkeypatch, slots):
+    rnd, lib, one_by_one = random.Random(5), Tokenizer.from_file(BYTE), []
+    assert library_pieces.encoder(BYTE) is library_pieces.encoder(BYTE)
+    monkeypatch.setattr(library_pieces.PieceIds, "SLOTS", slots)
+    of = library_pieces.LibraryPieces.of
+    monkeypatch.setattr(library_pieces.LibraryPieces, "of", lambda self, cut: one_by_one.extend(cut) or of(self, cut))
+    pieces, classes = library_pieces.PieceIds(BYTE), pretokens.tokenizers_classes()
+    specials = library_pieces.special_tokens(lib)
+    words = ["a", "ab", "abcdefg", "abcdefgh", "abcdefghi", "abcdefghabcdefg", "abcdefghabcdefgh", "abcdefghabcdefghi", "é" * 4, "漢" * 6, "x\0y", "!\0!", "\0", "!\0", "!\0\0", "!", "'s", "\n", "<|endoftext|>", "🙂" * 4, "9" * 17]
+    for _ in range(20):
+        texts = [t or "" for t in ODD] + ["".join(rnd.choice(words) + rnd.choice(["", " ", "  "]) + rnd.choice("abcß漢") * rnd.randint(0, 9) for _ in range(rnd.randint(0, 60))) for _ in range(30)]
+        for t, ids in zip(texts, library_pieces.ids_of(texts, pieces, classes, specials), strict=True):
+            assert ids.dtype == np.uint32 and ids.tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert one_by_one and all(len(p.encode()) > 16 or p.endswith("\0") for p in one_by_one)
+
+
 def test_media_round_trip_equal_texts_and_retries(spark, odd, none, monkeypatch):
     stored = media.media_column(odd)
     got = rows(media.media_features(stored))
