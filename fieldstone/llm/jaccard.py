@@ -115,8 +115,16 @@ def _linked(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
 
+def _joined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets in one array, and the size of each; held is empty afterwards, so that they are in memory once."""
+    out = np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
+    held.clear()
+    return out
+
+
 def _portions(batches, size: int, repeats: set[int], first_row: int):
-    """(portion, the rows' shingle sets) of a partition's texts, less the rows in `repeats`; portions are cut alike at each reading."""
+    """(portion, the rows' shingle sets in one array, the size of each) of a partition's texts, less the rows in `repeats`; portions are
+    cut alike at each reading. What a portion leaves in its reader's hands stays in memory while the next is collected."""
     held, many, portion, at = [], 0, 0, first_row
     for _, texts in slices(batches):
         for i, own in enumerate(shingle_sets(texts, size), at):
@@ -125,10 +133,38 @@ def _portions(batches, size: int, repeats: set[int], first_row: int):
                 many += len(own)
         at += len(texts)
         if many >= PORTION:
-            yield portion, held
-            held, many, portion = [], 0, portion + 1
+            yield portion, *_joined(held)
+            many, portion = 0, portion + 1
     if held:
-        yield portion, held
+        yield portion, *_joined(held)
+
+
+def _tallied(shingles: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct shingles in order the bits 32 to 63 below the upper `bits`, how often each occurs (up to 255), and where each
+    bucket begins, with the end. Sorts in place: neither an order nor numbers of the shingles are held beside them."""
+    shingles.sort()
+    new = np.concatenate((np.ones(min(1, len(shingles)), bool), shingles[1:] != shingles[:-1]))
+    counts = np.minimum(np.diff(np.flatnonzero(new), append=len(shingles)), 255).astype(np.uint8)
+    keys = shingles[new]
+    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    keys <<= np.uint64(bits)
+    keys >>= np.uint64(32)
+    return keys.astype(np.uint32), counts, np.append(cuts, len(keys))
+
+
+def _magnitudes(shingles: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """The magnitude of each shingle, where told has those of the distinct ones in order."""
+    order = np.argsort(shingles, kind="stable")
+    own = shingles[order]
+    new = np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1]))
+    del own
+    if np.count_nonzero(new) != len(told):
+        raise RuntimeError("the documents' partitions changed between two readings; write them to a table first")
+    at = np.cumsum(new)
+    at -= 1
+    out = np.empty(len(shingles), np.uint8)
+    out[order] = told[at]
+    return out
 
 
 def _repeats(places: Places) -> set[int]:
@@ -143,11 +179,9 @@ def _spread(texts: DataFrame, size: int, repeats: Places, bits: int) -> DataFram
     @tidy
     def run(batches):
         part = TaskContext.get().partitionId()
-        for portion, sets in _portions(batches, size, _repeats(repeats), part << 40):
-            keys, at = ranked(np.concatenate(sets))
-            counts = np.minimum(np.bincount(at), 255).astype(np.uint8)
-            cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            low = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        for portion, shingles, _ in _portions(batches, size, _repeats(repeats), part << 40):
+            low, counts, cuts = _tallied(shingles, bits)
+            del shingles
             own = np.flatnonzero(np.diff(cuts))
             yield pa.record_batch(
                 [
@@ -156,6 +190,7 @@ def _spread(texts: DataFrame, size: int, repeats: Places, bits: int) -> DataFram
                 ],
                 ["part", "portion", "bucket", "keys", "counts"],
             )
+            del low, counts
 
     return texts.mapInArrow(run, "part long, portion long, bucket long, keys binary, counts binary")
 
@@ -178,27 +213,23 @@ def _reduced(texts: DataFrame, size: int, percent: int, repeats: Places, told: P
     def run(batches):
         part = TaskContext.get().partitionId()
         answers = told.read(part, ["portion", "bucket", "told"])
-        for portion, sets in _portions(batches, size, _repeats(repeats), part << 40):
-            keys, at = ranked(np.concatenate(sets))
+        for portion, shingles, n in _portions(batches, size, _repeats(repeats), part << 40):
             own = answers.filter(pa.compute.equal(answers.column("portion"), portion)).sort_by("bucket") if answers else None
-            magnitude = np.frombuffer(b"".join(own.column("told").to_pylist()), np.uint8) if own else np.zeros(0, np.uint8)
-            if len(magnitude) != len(keys):
-                raise RuntimeError("the documents' partitions changed between two readings; write them to a table first")
-            magnitude = magnitude[at]
-            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            magnitude = _magnitudes(shingles, np.frombuffer(b"".join(own.column("told").to_pylist()), np.uint8) if own else np.zeros(0, np.uint8))
             alone = np.add.reduceat(magnitude == 1, np.cumsum(n) - n, dtype=np.int64)
             out, stop = [], np.cumsum(n)
             for i in np.flatnonzero(alone < n - least_overlap(n, percent) + 1).tolist():
-                of = magnitude[stop[i] - n[i] : stop[i]]
+                whole, of = shingles[stop[i] - n[i] : stop[i]], magnitude[stop[i] - n[i] : stop[i]]
                 shared = of > 1
-                s, m = sets[i][shared], of[shared]
+                s, m = whole[shared], of[shared]
                 order = np.argsort(m, kind="stable")  # sets are in the order of the hash already
-                out.append((node_of(sets[i]), int(n[i]), int(alone[i]), s[order].view(np.int64), m[order].tobytes()))
-                if len(out) == 64 or i == len(sets) - 1:
+                out.append((node_of(whole), int(n[i]), int(alone[i]), s[order].view(np.int64), m[order].tobytes()))
+                if len(out) == 64 or i == len(n) - 1:
                     yield _batch(out)
                     out = []
             if out:
                 yield _batch(out)
+            whole = of = shingles = magnitude = None  # none of it stays while the next portion is collected
 
     def _batch(out):
         node, n, alone, shingles, magnitudes = zip(*out, strict=True)

@@ -1,10 +1,14 @@
 """The pipeline's stages on a small table, each against what it should leave."""
 
 import random
+import tracemalloc
+from collections import Counter
+from types import SimpleNamespace
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
-from fieldstone.llm import common
+from fieldstone.llm import common, jaccard
 from fieldstone.llm.common import cut
 from tests.llm.test_operators import brute_components
 
@@ -103,3 +107,51 @@ def test_memory_is_released_around_each_partition(monkeypatch):
             yield b
 
     assert list(common.tidy(run)([1, 2])) == [1, 2] and seen == ["released", 1, 2, "released"]
+
+
+def test_a_portion_of_shingles_is_in_memory_about_once(monkeypatch):
+    """Each worker held a portion as sets, joined, ordered and numbered at once: 2,097,152 shingles took 130 MB and more of an executor."""
+    monkeypatch.setattr(jaccard, "PORTION", 1 << 18)
+    monkeypatch.setattr(jaccard, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rnd = random.Random(5)
+    texts = [" ".join(str(rnd.randrange(10**6)) for _ in range(2000)) for _ in range(400)]
+    texts += texts[:40]
+    batches = [pa.record_batch([pa.array(texts[i : i + 20])], ["text"]) for i in range(0, len(texts), 20)]
+    frame = SimpleNamespace(mapInArrow=lambda run, schema: run)
+    none = SimpleNamespace(read=lambda part, columns: None)
+    list(jaccard._portions(batches[:1], 3, set(), 0))  # what is made once a worker
+
+    def peak(run, take):
+        tracemalloc.start()
+        try:
+            for batch in run(iter(batches)):
+                take(batch)
+                del batch
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    spread, reduced = [], []
+    most = peak(jaccard._spread(frame, 3, none, 4), spread.append)
+    rows = pa.Table.from_batches(spread)
+    told = pa.concat_tables([jaccard._told(rows.filter(pa.compute.equal(rows.column("bucket"), b))) for b in range(16)])
+    own = SimpleNamespace(read=lambda part, columns: told.select(columns) if part == 3 else None)
+    most = max(most, peak(jaccard._reduced(frame, 3, 90, none, own), reduced.append))
+    assert rows.num_rows == 4 * 16 and most < 48 * jaccard.PORTION
+
+    want = Counter(x for t in texts for x in jaccard.shingle_sets([t], 3)[0].tolist())
+    got = Counter()
+    for r in rows.to_pylist():
+        for low, n in zip(np.frombuffer(r["keys"], np.uint32).tolist(), np.frombuffer(r["counts"], np.uint8).tolist(), strict=True):
+            got[r["bucket"] << 32 | low] += n
+    assert got == Counter({k: sum(n for _, n in g) for k, g in _grouped((x >> 28, n) for x, n in want.items())})
+    nodes = [r for b in reduced for r in b.to_pylist()]
+    assert Counter(r["node"] for r in nodes) == Counter(jaccard.node_of(jaccard.shingle_sets([t], 3)[0]) for t in texts[:40] + texts[400:])
+    assert all(r["n"] == 1998 and r["alone"] == 0 and set(r["magnitudes"]) == {2} for r in nodes)
+
+
+def _grouped(pairs):
+    found = {}
+    for k, n in pairs:
+        found.setdefault(k, []).append((k, n))
+    return found.items()
