@@ -14,6 +14,8 @@ from functools import cache
 
 import numpy as np
 
+from .common import released
+
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Symbols: letter, number, other, space that joins what follows, other last white space of a run, white space before more, an
 #: apostrophe before one or two letters of a contraction, separator of texts.
@@ -47,6 +49,7 @@ def tiktoken_classes() -> bytes:
 
 
 @cache
+@released
 def tokenizers_classes() -> bytes:
     """The same as the tokenizers library's regex engine has them, which knows another version of Unicode."""
     from tokenizers import Regex, pre_tokenizers

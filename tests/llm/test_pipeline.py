@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
-from fieldstone.llm import common, jaccard
+from fieldstone.llm import common, jaccard, toxicity
 from fieldstone.llm.common import cut
 from tests.llm.test_operators import brute_components
 
@@ -109,6 +109,14 @@ def test_memory_is_released_around_each_partition(monkeypatch):
     assert list(common.tidy(run)([1, 2])) == [1, 2] and seen == ["released", 1, 2, "released"]
 
 
+def test_the_driver_releases_what_training_took(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "release", lambda: seen.append("released"))
+    docs = spark.createDataFrame([(i, "ab cd") for i in range(9)], "doc_id long, text string")
+    weights = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int"))
+    assert len(weights) == 3 and seen == ["released"]
+
+
 def test_a_portion_of_shingles_is_in_memory_about_once(monkeypatch):
     """Each worker held a portion as sets, joined, ordered and numbered at once: 2,097,152 shingles took 130 MB and more of an executor."""
     monkeypatch.setattr(jaccard, "PORTION", 1 << 18)
