@@ -472,6 +472,27 @@ def test_licence_paragraphs_of_texts_without_an_anchor(spark):
     assert {(r.doc_id, r.family, r.paragraph) for r in licenses.scan(df).collect() if r.confirmed} == {(1, "mit", 0), (2, "mit", 1)}
 
 
+def test_licence_paragraphs_of_pieces_that_do_not_speak(spark):
+    """A long sentence that names a licence has too few pairs of the templates to speak, but the classifier knows it: it gives a row
+    once there are so many other paragraphs that the level leaves room for it."""
+    prose = "\n".join(f"plain words of paragraph {i} about weather and hills" for i in range(2200))
+    long = "After weeks of long talks between all of our old friends in town we are glad that today it was at last released under a new, kind, short, friendly text, that is the MIT one, says everyone who came to see us"
+    df = spark.createDataFrame([(1, prose), (2, long), (3, "Released under the MIT License.")], "doc_id long, text string")
+    assert licenses.paragraphs(df, "doc_id", "text").filter("id = 2").count() == 0
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert set(got) == {2, 3} and (got[2].family, got[2].confirmed, got[2].paragraph, got[2].text) == ("mit", False, 0, long)
+    assert [r.doc_id for r in licenses.scan(df.filter("doc_id > 1")).collect()] == [3]
+
+
+def test_licence_notices_of_one_word_a_line_and_side_by_side(spark):
+    dual = "Released under the MIT License.\nLicensed under CC BY 4.0.\nSPDX-License-Identifier: EPL-2.0"
+    data = [(1, "Rain fell.\nReleased\nunder\nthe\nMIT\nLicense."), (2, "Licensed under the\nApache\nLicense, Version 2.0."), (3, dual), (None, dual), (3, dual), (4, "Rain\nfell\non\nthe\nhills")]
+    got = [r for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect() if r.confirmed]
+    told = sorted((r.doc_id or 0, r.paragraph, r.last_line, r.family) for r in got)
+    three = [(0, 0, "mit"), (1, 1, "cc-by"), (2, 2, "epl")]
+    assert told == [(0, *x) for x in three] + [(1, 1, 5, "mit"), (2, 0, 2, "apache-2.0")] + [(3, *x) for x in three for _ in range(2)]
+
+
 def test_licence_scores_and_agreement_against_plain_sums(spark):
     import re
 
