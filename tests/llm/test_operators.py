@@ -342,6 +342,48 @@ def test_toxicity_sample_comes_to_the_driver_by_partitions(spark, monkeypatch):
     assert len(toxicity.train(docs, labels)[0])
 
 
+def test_toxicity_learns_from_every_row_and_feature(spark, monkeypatch):
+    """A long row's features and the texts of a repeated id all count; shards learn what a single one does."""
+    whole = toxicity.Ftrl.learn
+    held = []
+
+    def learn(self, z, n, rows, labels, importance):
+        whole(self, z, n, rows, labels, importance)
+        held.append((sorted((r.tolist(), y) for r, y in zip(rows, labels, strict=True)), n[-1]))
+
+    texts = [" ".join(f"v{i}" for i in range(5000)), "good words of the day", "other words of the day", "scum of the day", ""]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:4]
+    docs = spark.createDataFrame([(ids[0], texts[0]), (ids[1], texts[1]), (ids[1], texts[2]), (ids[1], texts[1]), (ids[2], texts[3]), (ids[3], texts[4])], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0), (ids[2], 1), (ids[3], 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "tidy", lambda run: run)
+    monkeypatch.setattr(toxicity, "_summed", lambda spark, shards, work, parts: _dense_sums([work(k) for k in range(shards)]))
+    monkeypatch.setattr(toxicity, "_sums", lambda told: told)
+    monkeypatch.setattr(toxicity.Ftrl, "learn", learn)
+    toxicity.train(docs, labels, model=toxicity.Ftrl(min_rows=1, epochs=1))
+    hashes = toxicity.word_hashes()
+    want = sorted((sorted(set(toxicity.features([t], hashes)[1].tolist())), y) for t, y in zip(texts, (1, 0, 0, 1, 0), strict=True))
+    assert [rows for rows, _ in held] == [want] and max(len(r) for r, _ in want) > 8192
+
+
+def _dense_sums(told):
+    out = np.zeros((1 << toxicity.BITS) + 1), np.zeros((1 << toxicity.BITS) + 1)
+    for at, a, b in told:
+        out[0][at] += a
+        out[1][at] += b
+    return out
+
+
+def test_toxicity_by_shards_is_the_mean_of_their_passes(spark, monkeypatch):
+    docs, labels = toxic_table(spark)
+    monkeypatch.setattr(toxicity, "PIECE_ROWS", 40)
+    model = toxicity.Ftrl(l1=1.0, epochs=2)
+    at, values, bias = toxicity.train(docs, labels, model=model, shard_rows=90)
+    again = toxicity.train(docs.repartition(7), labels, model=model, shard_rows=90)
+    assert (again[0].tolist(), again[1].tolist(), again[2]) == (at.tolist(), values.tolist(), bias)
+    score = toxicity._scores(["w1 w2 scum w3 moron", "w1 w2 w3 w4"], toxicity._dense(at, values), bias, toxicity.word_hashes())
+    assert len(at) and score[0] > 0.7 > score[1]
+
+
 def brute_nll(trusted, text):
     """Interpolated modified Kneser-Ney of order 4, as plainly as possible."""
     grams = {}
