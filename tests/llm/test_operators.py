@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldstone.llm import bpe, chat, jaccard, library_pieces, licenses, media, packing, pretokens, quality, token_counts, topk, toxicity
+from fieldstone.llm import bpe, chat, common, jaccard, library_pieces, licenses, media, packing, pretokens, quality, token_counts, topk, toxicity
 
 WORD, BYTE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, node string"
@@ -384,6 +384,18 @@ def test_toxicity_by_shards_is_the_mean_of_their_passes(spark, monkeypatch):
     assert len(at) and score[0] > 0.7 > score[1]
 
 
+def test_toxicity_states_of_shards_leave_no_files(spark, monkeypatch, tmp_path):
+    """What shards tell is added up without a shuffle, whose files would stay for all passes, and is deleted then."""
+    number = spark._jsc.sc().newShuffleId
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    at, first = np.array([1, 70_000, 1 << 20]), number()
+    told = toxicity._summed(spark, 3, lambda k: (at, np.array([1.0, 2.0, 3.0]), np.array([0.5 * k, 0.0, k])), 2)
+    assert number() == first + 1
+    assert [p.name for p in tmp_path.iterdir()] == [told.rsplit("/", 1)[1]]
+    a, b = toxicity._sums(told)
+    assert (a[at].tolist(), b[at].tolist(), np.count_nonzero(a), np.count_nonzero(b)) == ([1.5, 3.0, 4.5], [0.75, 0.0, 1.5], 3, 2)
+
+
 def brute_nll(trusted, text):
     """Interpolated modified Kneser-Ney of order 4, as plainly as possible."""
     grams = {}
