@@ -538,6 +538,24 @@ def test_licence_paragraphs_of_pieces_that_do_not_speak(spark):
     assert [r.doc_id for r in licenses.scan(df.filter("doc_id > 1")).collect()] == [3]
 
 
+def test_licence_pieces_below_the_bound_are_not_scored(spark, monkeypatch):
+    """The bound never leaves out what the classifier would give to a family, and few pieces of prose come to the classifier."""
+    rnd, scored = random.Random(4), []
+    terms = licenses.vocabulary(spark)
+    known = sorted({w for t in terms.vocabulary for w in t.split(" ")})
+    texts = [" ".join(rnd.choice(terms.vocabulary if k % 2 else known) for _ in range(1 + k % 9)) for k in range(400)]
+    prose = [f"plain words about weather, rain and hills, told by number{i}" for i in range(300)]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts + prose)], "id long, paragraph int, text string").withColumn("agrees", F.col("id") < 400)
+    vocabulary, model, _ = licenses.train(df, background=100)
+    told = licenses._top(model.transform(licenses._features(df, vocabulary))).select("id", (F.col("top.probability") >= licenses.LEAST).alias("likely"), licenses._bound(vocabulary, model)(licenses.words(F.col("text"))).alias("near")).collect()
+    assert all(r.near for r in told if r.likely) and 20 < sum(r.likely for r in told) < 400
+    assert not any(r.near for r in told if r.id >= 400)
+    top = licenses._top
+    monkeypatch.setattr(licenses, "_top", lambda df: (scored.append(df.count()), top(df))[1])
+    licenses._others(spark.createDataFrame([(1, "\n".join(prose)), (2, None), (3, "")], "doc_id long, text string"), "doc_id", "text", vocabulary, model)
+    assert scored == [0]
+
+
 def test_licence_notices_of_one_word_a_line_and_side_by_side(spark):
     dual = "Released under the MIT License.\nLicensed under CC BY 4.0.\nSPDX-License-Identifier: EPL-2.0"
     data = [(1, "Rain fell.\nReleased\nunder\nthe\nMIT\nLicense."), (2, "Licensed under the\nApache\nLicense, Version 2.0."), (3, dual), (None, dual), (3, dual), (4, "Rain\nfell\non\nthe\nhills")]
